@@ -211,14 +211,14 @@ def runs(spark, d):
 RUNS = "runs AS (SELECT l_returnflag AS method, CAST(l_suppkey % 7 AS VARCHAR) AS config_id, CAST(l_linenumber % 3 AS BIGINT) AS repeat_id, l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(l_quantity / 50.0 AS DOUBLE) AS recall, CAST(l_extendedprice AS DOUBLE) AS qps FROM lineitem)"
 
 
-@query(f"WITH {RUNS} SELECT method, config_id, repeat_id, recall, qps FROM (SELECT *, row_number() OVER (PARTITION BY method, config_id, repeat_id ORDER BY l_orderkey, line) AS r FROM runs) WHERE r = 1")
+@query(f"WITH {RUNS} SELECT method, config_id, repeat_id, recall, qps FROM (SELECT *, row_number() OVER (PARTITION BY method, config_id, repeat_id ORDER BY l_orderkey, line, qps, recall) AS r FROM runs) WHERE r = 1")
 def dedup_runs(spark, d):
-    return R.dedup_first(runs(spark, d), ["method", "config_id", "repeat_id"], ["l_orderkey", "line"]).select("method", "config_id", "repeat_id", "recall", "qps")
+    return R.dedup_first(runs(spark, d), ["method", "config_id", "repeat_id"], ["l_orderkey", "line", "qps", "recall"]).select("method", "config_id", "repeat_id", "recall", "qps")
 
 
-@query(f"WITH {RUNS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, config_id, repeat_id ORDER BY l_orderkey, line) AS r FROM runs) WHERE r = 1) SELECT method, config_id, round(median(recall), 6) AS recall, round(median(qps), 6) AS qps, arg_min(l_orderkey, repeat_id) AS l_orderkey, count(*) AS repeats FROM u GROUP BY ALL")
+@query(f"WITH {RUNS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, config_id, repeat_id ORDER BY l_orderkey, line, qps, recall) AS r FROM runs) WHERE r = 1) SELECT method, config_id, round(median(recall), 6) AS recall, round(median(qps), 6) AS qps, arg_min(l_orderkey, repeat_id) AS l_orderkey, count(*) AS repeats FROM u GROUP BY ALL")
 def median_runs(spark, d):
-    one = R.dedup_first(runs(spark, d), ["method", "config_id", "repeat_id"], ["l_orderkey", "line"])
+    one = R.dedup_first(runs(spark, d), ["method", "config_id", "repeat_id"], ["l_orderkey", "line", "qps", "recall"])
     m = R.median_runs(one, ["method", "config_id"], ["recall", "qps"], ["l_orderkey"], F.col("repeat_id"))
     return m.withColumns({c: F.round(c, 6) for c in ("recall", "qps")})
 
