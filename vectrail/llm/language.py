@@ -70,18 +70,19 @@ class SuffixAutomaton:
             last = cur
 
     def parser(self, alphabet: int) -> np.ndarray:
-        """[state * alphabet + code] -> 2 * next state + 1 if a phrase ended before this code."""
+        """[state * alphabet + code] -> 4 * next state + phrases that end: one before the code, one with it if it is unknown."""
         out = np.empty((len(self.next), alphabet), dtype=np.int32)
         root = np.zeros(alphabet, dtype=np.int32)
         for c, t in self.next[0].items():
             root[c] = t
-        out[:] = root * 2 + 1
+        root[OTHER] = 0
+        out[:] = np.where(root > 0, root * 4 + 1, 2)
+        out[0] = np.where(root > 0, root * 4, 1)
         for s, edges in enumerate(self.next):
             for c, t in edges.items():
-                out[s, c] = 2 * t
-        out[0] = np.where(root > 0, root * 2, 1)
-        out[:, OTHER] = 1
-        out[:, PAD] = 2 * np.arange(len(self.next))
+                if c != OTHER:
+                    out[s, c] = 4 * t
+        out[:, PAD] = 4 * np.arange(len(self.next))
         return out.ravel()
 
 
@@ -131,8 +132,8 @@ class CrossParser:
                 state *= self.alphabet
                 state += column
                 np.take(parser, state, out=state, mode="clip")
-                count += state & 1
-                state >>= 1
+                count += state & 3
+                state >>= 2
             phrases[k] = np.bincount(owner, count + (state > 0), minlength=len(texts))
         has_letter = np.array([bool((c != GAP).any()) for c in coded], dtype=bool)
         rank = np.argsort(phrases, axis=0, kind="stable")
