@@ -112,14 +112,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, fraction: float = 0.2, seed: int = 7) -> list[tuple[Rule, float, float]]:
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
     """(rule, seconds a row, share rejected) in falling order of rejections per second.
 
-    The sample is at most ``sample_rows`` rows; the limit stops the scan early,
-    so the estimate reads a bounded part of the table. One aggregate row comes
-    back for each rule.
+    The sample has about ``sample_rows`` rows: its fraction follows from the
+    row count, so no partition sends more than its share and nothing is
+    shuffled. One aggregate row comes back for each rule.
     """
-    sample = docs.select("text").sample(fraction, seed).limit(sample_rows)
+    total = docs.count()
+    sample = docs.select("text").sample(min(1.0, sample_rows / max(total, 1)), seed)
     words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), WORD_GAP, "")).alias("word_chars")
     sample = sample.select("text", words, F.size(words_of(F.col("text"))).alias("n_words")).persist()
     rows = sample.count()
