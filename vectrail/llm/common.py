@@ -53,3 +53,13 @@ def split_words(text: str) -> list[str]:
         if gap in text:
             text = text.replace(gap, " ")
     return text.split(" ")
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Tell a Python worker which operator runs now; what other operators remembered there is forgotten."""
+    for name in [n for n in _caches if n != owner]:
+        _caches.pop(name)()
+    _caches[owner] = clear

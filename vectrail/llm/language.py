@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import claim, table
 
 SAMPLE_DOCS = 64
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS = 30_000
 STRIP = 256
 UNDETERMINED = "und"
 #: Codes of characters: none (ends a strip), anything unknown, a gap between words; letters follow.
@@ -186,6 +186,7 @@ def identify(docs: DataFrame, samples: dict[str, str], weights: dict[str, int],
     extra = [] if "text" in keep else ["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language", _parsers.clear)
         learned, counts = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):

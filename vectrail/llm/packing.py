@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_table, table
+from .common import claim, stage_table, table
 from .tokens import runs_of, vocabulary_path
 
 CAPACITY = 4096
@@ -37,7 +37,7 @@ GROUP = 16384
 FAN_IN = 16
 PASS_ON = 48
 #: Remembered pieces of text in a worker, and the longest of them.
-MEMORY, LONGEST = 800_000, 48
+MEMORY, LONGEST = 400_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -102,6 +102,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _encoders.clear)
         enc = encoder(path)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()

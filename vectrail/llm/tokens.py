@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import claim, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Pieces remembered in a worker, and the longest of them.
-MEMORY = 800_000
+MEMORY = 400_000
 LONGEST = 48
 
 #: Pieces of only these characters can be cut further, into runs that the vocabulary's own rules would part as well: no
@@ -179,6 +179,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens", _mergers.clear)
         counter = merger(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
