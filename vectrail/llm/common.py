@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Separators of words: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Most bytes of an Arrow batch, unless a single row has more.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes, so that long texts don't make a batch that outgrows a worker.
+
+    The bound becomes a setting of the session, as plans read it when they run.
+    """
+    df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once, even where ``body`` uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, table
+from .common import claim, map_arrow, table
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 30_000
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, samples: dict[str, str], weights: dict[str, int],
                     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, *extra).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return map_arrow(docs.select(*keep, *extra), run, f"{fields}, lang_pred string, score double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

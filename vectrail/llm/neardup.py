@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, stage_table, table
+from .common import claim, map_arrow, stage_table, table
 
 WORDS = 5
 PERCENT = 75
@@ -147,7 +147,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 signed = lambda xs: pa.array(np.array(xs, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed(h1), signed(h2), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHED)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SKETCHED)
 
 
 def registers(column: pa.Array) -> np.ndarray:
@@ -168,7 +168,7 @@ def band_keys(reps: DataFrame) -> DataFrame:
             rep = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep)], ["key", "rep"])
 
-    return reps.select("rep", "sketch").mapInArrow(run, "key long, rep long")
+    return map_arrow(reps.select("rep", "sketch"), run, "key long, rep long")
 
 
 def with_estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def with_estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     # sizes alone rule out a pair whose smaller set is under 75 % of the larger
     near = (F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long, j double")
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", "sa", "sb", "na", "nb"), run, "a long, b long, j double")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 linked.append(100 * both >= PERCENT * (len(set_a) + len(set_b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, stage_table, table
+from .common import claim, map_arrow, stage_table, table
 from .tokens import runs_of, vocabulary_path
 
 CAPACITY = 4096
@@ -118,7 +118,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return map_arrow(docs.select("doc_id", "text"), run, PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import claim, table
+from .common import claim, map_arrow, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -189,7 +189,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
