@@ -14,10 +14,11 @@ two registers agree about as often as the sets' Jaccard similarity.
 4. The rest is confirmed on the full sets, and links become components.
 
 Buckets are never expanded into all pairs. Round 1 compares each member with
-its bucket's first class, round 2 with its bucket's class of most links, and
-round 3 compares what is then still apart: members outside a bucket's largest
-component with members of other components. Pairs inside one component need
-no comparison, so after round 3 every candidate link is decided.
+its bucket's first class, and round 2 with its bucket's class of most links.
+Round 3 takes the members of buckets that are then still in several components
+and pairs them, across components, where their rarest shingles meet (prefix
+and position filters, exact for every linked pair). Pairs inside one component
+need no comparison, so after round 3 every candidate link is decided.
 
 Defined results: a null text, or one without words, has size 0 and is a
 component of its own; fewer than 5 words are one shingle; rows that share a
@@ -45,6 +46,8 @@ FLOOR = 0.6
 #: Links a class confirms in round 1; the best by estimate.
 BEST = 2
 MEMORY = 250_000
+#: Counters of the order of shingles in round 3; the only part of it that reaches the driver.
+SLOTS = 1 << 18
 
 _U = np.uint64
 
@@ -207,6 +210,47 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
+def prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, rep, label, size, left): the shingles among which a set shares its first one with any set that it is linked to.
+
+    Under one order of all shingles, two linked sets share an element before
+    each has fewer than PERCENT of its own left; ``left`` counts from the
+    element on. Any order gives whole results. This one puts shingles of rarer
+    hash slots first, so that what many texts share is seldom among the keys.
+    """
+    sets = stage_table(members.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "label", "text"), "sets")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                count[(_shingler.shingles(t) % _U(SLOTS)).astype(np.int64)] += 1
+        slot = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count[slot])], ["slot", "n"])
+
+    told = map_arrow(sets.select("text"), tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(SLOTS, dtype=np.int64)
+    frequency[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(frequency)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, left = [np.empty(0, dtype=np.uint64)], [], [np.empty(0, dtype=np.int64)]
+            for t in batch.column("text").to_pylist():
+                s = _shingler.shingles(t)
+                often = shared.value[(s % _U(SLOTS)).astype(np.int64)]
+                first = np.argsort(often, kind="stable")[: len(s) + (-len(s) * PERCENT) // 100 + 1]
+                met = np.flatnonzero(often[first] > 1)  # a slot's only shingle is in no other set
+                keys.append(s[first[met]])
+                left.append(len(s) - met)
+                sizes.append((len(met), len(s)))
+            n, size = np.array(sizes, dtype=np.int64).reshape(-1, 2).T
+            of = lambda c, n=n, batch=batch: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(of("rep")), pa.array(of("label")), pa.array(np.repeat(size, n)), pa.array(np.concatenate(left))], ["key", "rep", "label", "size", "left"])
+
+    return stage_table(map_arrow(sets, run, "key long, rep long, label long, size long, left long"), "prefixes")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) reaches.
 
@@ -265,13 +309,18 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = found.unionByName(more)
     label = stage_table(components(found), "labels")
 
-    # round 3: all that is still apart, as blocks of members outside a bucket's largest component
+    # round 3: all that is still apart, by shingles that linked sets must share among their rarest
     rows = labelled(found, label)
-    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = counts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label"))["label"].alias("major")).filter("labels > 1").select("key", "major")
-    apart = stage_table(rows.join(major, "key").select("key", "rep", "label", (F.col("label") == F.col("major")).alias("is_major")), "apart")
-    outside = apart.filter(~F.col("is_major")).select("key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    pairs = apart.join(outside, "key").filter((F.col("label") != F.col("lx")) & (F.col("is_major") | (F.col("rep") < F.col("x")))).select(*ordered("rep", "x")).distinct()
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    apart = prefixes(rows.join(mixed, "key").select("rep", "label").distinct(), texts)
+    shared = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    apart = stage_table(apart.join(shared, "key"), "apart")
+    counts = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    major = counts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("major"))
+    apart = stage_table(apart.join(major, "key").withColumn("is_major", F.col("label") == F.col("major")).drop("major"), "apart")
+    outside = apart.filter(~F.col("is_major")).select("key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("left").alias("left_x"))
+    enough = F.least("left", "left_x") * (100 + PERCENT) >= (F.col("size") + F.col("nx")) * PERCENT
+    pairs = apart.join(outside, "key").filter((F.col("label") != F.col("lx")) & enough & (F.col("is_major") | (F.col("rep") < F.col("x")))).select(*ordered("rep", "x")).distinct()
     more = stage_table(confirm(with_estimates(pairs, reps), texts), "links")
     found = found.unionByName(more)
     return found, stage_table(components(found), "labels")
