@@ -10,9 +10,10 @@ occurrences in documents that hold the entity become spans of kind ``term``.
 
 Frequencies cover all documents. Terms are taken from ``NEAR`` characters on
 both sides of each mention, so pairs grow with mentions, not with their
-squares. Frequencies of terms in the corpus are counted only for terms that
-have the support; the candidate and flag tables are written first, so that the
-planner sees their sizes and broadcasts them only when they are small.
+squares. Frequencies of terms in the corpus are counted in each partition before
+they meet the terms that have the support; the candidate and flag tables are
+written first, so that the planner sees their sizes and broadcasts them only
+when they are small.
 
 Spans come without positions from regexp functions; so matches are fenced by
 U+0001 (which no pattern matches; those of the text are exchanged first) and
@@ -120,7 +121,7 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     if candidates.isEmpty():
         return docs.select("doc_id", F.array().cast("array<string>").alias("terms")).limit(0)
     in_corpus = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"))).alias("term"))
-    df_term = in_corpus.join(candidates, "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    df_term = in_corpus.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(candidates, "term")
     df_entity = seen.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     total = float(n.first()["n"] or 1)
     scored = enough.join(df_term, "term").join(df_entity, "entity")
