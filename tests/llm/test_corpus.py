@@ -331,3 +331,34 @@ def test_pipeline(spark):
 def test_digests_are_hex(spark):
     r = privacy.op8_personal_data(spark, DATA).filter("n_email + n_ip + n_card + n_phone = 0").first()
     assert r["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_linked_sets_meet_in_their_prefixes(spark):
+    """Round 3 of near-dedup: families of near misses around one text, each link found among the prefixes' keys."""
+    from vectrail.llm import neardup
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(40):
+        words = list(base)
+        for at in rng.choice(len(words), size=k % 5, replace=False):
+            words[at] = f"x{k}_{at}"
+        texts.append(" ".join(words[: 120 - 3 * (k % 4)]))
+    docs = spark.createDataFrame([*enumerate(texts), (40, "a b"), (41, "a b c d e")], "doc_id long, text string")
+    members = docs.selectExpr("doc_id rep", "doc_id label")
+    rows = neardup.prefixes(members, docs).collect()
+    keys: dict[int, dict] = {}
+    for r in rows:
+        keys.setdefault(r["rep"], {})[r["key"]] = (r["size"], r["left"])
+    sets = [set(neardup._shingler.shingles(t).tolist()) for t in texts]
+    links = 0
+    for i in range(40):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                met = keys[i].keys() & keys[j].keys()
+                assert any(min(keys[i][g][1], keys[j][g][1]) * 175 >= (keys[i][g][0] + keys[j][g][0]) * 75 for g in met)
+    assert 0 < links < 780
+    assert neardup.prefixes(members.limit(0), docs).count() == 0
