@@ -267,6 +267,15 @@ def test_disclosing_terms_and_redaction(spark):
             assert not r["spans"]
 
 
+def test_entity_of_one_document_is_disclosed(spark):
+    rows = [(1, "please write to Zaphod at zap@mail.example.com soon"), (2, "call Trillian on +49 30 1234567 soon"), (3, "call Trillian on +49 30 1234567 please")]
+    rows += [(10 + i, "please write to or call at any mail soon on") for i in range(300)]
+    found = privacy.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    terms = {r["doc_id"]: {r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"} for r in found}
+    assert (terms[1], terms[2], terms[3]) == ({"Zaphod"}, {"Trillian"}, {"Trillian"})
+    assert not any(terms[i] for i in terms if i >= 10)
+
+
 def test_mix(spark, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text")
     sizes = mixing.sizes_of(docs)

@@ -4,14 +4,16 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.
 Each is a protected entity. A term t near an entity e discloses it as far as it
 makes e likely: with document frequencies, PMI(t, e) = log p(t, e) / (p(t) p(e))
 is compared with the entity's own information -log p(e); at a ratio of
-``DISCLOSURE`` or more, and ``SUPPORT`` different contexts, the term's
-occurrences in documents that hold the entity become spans of kind ``term``.
-``redact`` replaces base spans by their kind and generalises terms.
+``DISCLOSURE`` or more the term's occurrences in documents that hold the entity
+become spans of kind ``term``. p(e | t) is smoothed by ``PRIOR`` documents that
+hold e as often as any do: the more common the entity, the more support a term
+needs, and one document is enough for an entity that only it holds. ``redact``
+replaces base spans by their kind and generalises terms.
 
 Frequencies cover all documents. Terms are taken from ``NEAR`` characters on
 both sides of each mention, so pairs grow with mentions, not with their
 squares. Frequencies of terms in the corpus are counted in each partition before
-they meet the terms that have the support; the candidate and flag tables are
+they meet the terms near mentions; the candidate and flag tables are
 written first, so that the planner sees their sizes and broadcasts them only
 when they are small.
 
@@ -34,7 +36,7 @@ from .common import let, stage_table, table
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.9
-SUPPORT = 3
+PRIOR = 0.5
 NEAR = 80
 FENCE = "\x01"
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -109,14 +111,13 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.filter(F.size("base") > 0).select("doc_id", "text", F.explode("base").alias("s")).select("doc_id", entity.alias("entity"), near.alias("near")).select("doc_id", "entity", F.xxhash64("near").alias("context"), terms.alias("terms"))
 
 
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, terms): the terms that disclose an entity of the document. ``docs`` has doc_id, text and base."""
     # one row for each mention and document; a document's mentions of one entity in one context count once
     seen = stage_table(mentions(docs).groupBy("doc_id", "entity", "context").agg(F.first("terms").alias("terms")), "mentions")
-    pairs = seen.select("doc_id", "entity", "context", F.explode("terms").alias("term"))
-    each = pairs.groupBy("entity", "term", "doc_id").agg(F.min("context").alias("context"))
-    enough = stage_table(each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support), "pairs")
-    candidates = stage_table(enough.select("term").distinct(), "candidates")
+    pairs = seen.select("doc_id", "entity", F.explode("terms").alias("term")).distinct()
+    together = stage_table(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")), "pairs")
+    candidates = stage_table(together.select("term").distinct(), "candidates")
     n = docs.select(F.count(F.lit(1)).alias("n"))
     if candidates.isEmpty():
         return docs.select("doc_id", F.array().cast("array<string>").alias("terms")).limit(0)
@@ -124,9 +125,11 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     df_term = in_corpus.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(candidates, "term")
     df_entity = seen.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     total = float(n.first()["n"] or 1)
-    scored = enough.join(df_term, "term").join(df_entity, "entity")
-    pmi = F.log(F.col("together") * total / (F.col("with_term") * F.col("with_entity")))
+    scored = together.join(df_term, "term").join(df_entity, "entity")
     own = F.log(total / F.col("with_entity"))
+    # documents of no evidence that hold the entity as often as any do
+    smooth = (F.col("together") + PRIOR * F.col("with_entity") / total) / (F.col("with_term") + PRIOR)
+    pmi = F.log(smooth) + own
     flagged = stage_table(scored.filter((own > 0) & (pmi >= disclosure * own)).select("entity", "term"), "flagged")
     return stage_table(pairs.join(flagged, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms")), "terms")
 
