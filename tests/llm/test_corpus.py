@@ -276,6 +276,15 @@ def test_entity_of_one_document_is_disclosed(spark):
     assert not any(terms[i] for i in terms if i >= 10)
 
 
+def test_terms_far_from_the_entity_are_spans(spark):
+    far = " please write to any" * 40
+    rows = [(1, f"Zaphod{far} zap@mail.example.com{far} Zaphod"), (2, f"zap@mail.example.com Zaphod{far}"), (3, f"{far} Trillian {far} +49 30 1234567")]
+    rows += [(10 + i, "please write to or call at any mail soon on") for i in range(300)]
+    found = privacy.find_spans(spark.createDataFrame(rows + rows[:1], "doc_id bigint, text string")).filter("doc_id < 10").collect()
+    terms = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in found}
+    assert len(found) == 4 and terms == {1: ["Zaphod"] * 2, 2: ["Zaphod"], 3: ["Trillian"]}
+
+
 def test_mix(spark, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text")
     sizes = mixing.sizes_of(docs)

@@ -1,7 +1,7 @@
 """Personal data: base patterns and information-theoretic sanitisation, in DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.
-Each is a protected entity. A term t near an entity e discloses it as far as it
+Each is a protected entity. A term t beside an entity e discloses it as far as it
 makes e likely: with document frequencies, PMI(t, e) = log p(t, e) / (p(t) p(e))
 is compared with the entity's own information -log p(e); at a ratio of
 ``DISCLOSURE`` or more the term's occurrences in documents that hold the entity
@@ -10,12 +10,11 @@ hold e as often as any do: the more common the entity, the more support a term
 needs, and one document is enough for an entity that only it holds. ``redact``
 replaces base spans by their kind and generalises terms.
 
-Frequencies cover all documents. Terms are taken from ``NEAR`` characters on
-both sides of each mention, so pairs grow with mentions, not with their
-squares. Frequencies of terms in the corpus are counted in each partition before
-they meet the terms near mentions; the candidate and flag tables are
-written first, so that the planner sees their sizes and broadcasts them only
-when they are small.
+Frequencies cover all documents, and t is beside e in every document that holds
+both, however far apart. Terms are counted in each partition before they are
+dealt out, and only terms rare enough to disclose some entity are paired with
+entities; the tables of frequencies, pairs and flags are written first, so that
+the planner sees their sizes and broadcasts them only when they are small.
 
 Spans come without positions from regexp functions; so matches are fenced by
 U+0001 (which no pattern matches; those of the text are exchanged first) and
@@ -37,7 +36,6 @@ from .common import let, stage_table, table
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.9
 PRIOR = 0.5
-NEAR = 80
 FENCE = "\x01"
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -99,39 +97,45 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text in lower case, as ``TERM`` finds them, and its shorter words."""
+    return F.array_distinct(F.transform(F.array_distinct(F.split(text, r"\P{L}+")), F.lower))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, entity, context, terms): one row for each base span."""
-    s = F.col("s")
-    left = F.substring(F.col("text"), F.greatest(s["start"] - NEAR + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(NEAR)).cast("int"))
-    right = F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.lit(NEAR))
-    # words cut by the window's edge don't count
-    near = F.concat(F.when(s["start"] > NEAR, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left), F.lit(" "), F.when(F.length(right) == NEAR, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("near"), F.lit(f"({TERM})"), F.lit(1)))
-    entity = F.xxhash64(s["kind"], F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    return docs.filter(F.size("base") > 0).select("doc_id", "text", F.explode("base").alias("s")).select("doc_id", entity.alias("entity"), near.alias("near")).select("doc_id", "entity", F.xxhash64("near").alias("context"), terms.alias("terms"))
+    """(doc_id, entities, terms): one row for each document that holds an entity, with the distinct terms of its whole text."""
+
+    def entity(s: Column) -> Column:
+        return F.xxhash64(s["kind"], F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    return docs.filter(F.size("base") > 0).select("doc_id", F.array_distinct(F.transform("base", entity)).alias("entities"), terms_of(F.col("text")).alias("terms"))
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, terms): the terms that disclose an entity of the document. ``docs`` has doc_id, text and base."""
-    # one row for each mention and document; a document's mentions of one entity in one context count once
-    seen = stage_table(mentions(docs).groupBy("doc_id", "entity", "context").agg(F.first("terms").alias("terms")), "mentions")
-    pairs = seen.select("doc_id", "entity", F.explode("terms").alias("term")).distinct()
-    together = stage_table(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")), "pairs")
-    candidates = stage_table(together.select("term").distinct(), "candidates")
-    n = docs.select(F.count(F.lit(1)).alias("n"))
-    if candidates.isEmpty():
+    seen = stage_table(mentions(docs), "mentions")
+    df_entity = stage_table(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "entities")
+    most = df_entity.agg(F.max("with_entity").alias("most")).first()["most"]
+    if most is None:
         return docs.select("doc_id", F.array().cast("array<string>").alias("terms")).limit(0)
-    in_corpus = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"))).alias("term"))
-    df_term = in_corpus.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(candidates, "term")
-    df_entity = seen.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    total = float(n.first()["n"] or 1)
-    scored = together.join(df_term, "term").join(df_entity, "entity")
+    total = float(docs.count())
+    # no term of more documents than this reaches the ratio with any entity, even if every document of the entity holds it
+    bound = (1 + PRIOR) * most * (total / most) ** (1 - disclosure) + 1
+    in_corpus = docs.select(F.explode(terms_of(F.coalesce("text", F.lit("")))).alias("term")).filter(F.length("term") >= 3)
+    df_term = stage_table(in_corpus.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")), "frequencies")
+    # the commonest, at most 1000 times the mean number of terms a document, go before terms are dealt out
+    common = df_term.filter(F.col("with_term") > max(bound, total / 1000)).select("term")
+    terms = seen.select("doc_id", "entities", F.explode("terms").alias("term")).filter(F.length("term") >= 3).join(common, "term", "left_anti")
+    rare = terms.join(df_term.filter(F.col("with_term") <= bound), "term")
+    pairs = stage_table(rare.select("doc_id", F.explode("entities").alias("entity"), "term", "with_term"), "pairs")
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.first("with_term").alias("with_term"))
+    scored = together.join(df_entity, "entity")
     own = F.log(total / F.col("with_entity"))
     # documents of no evidence that hold the entity as often as any do
     smooth = (F.col("together") + PRIOR * F.col("with_entity") / total) / (F.col("with_term") + PRIOR)
     pmi = F.log(smooth) + own
     flagged = stage_table(scored.filter((own > 0) & (pmi >= disclosure * own)).select("entity", "term"), "flagged")
-    return stage_table(pairs.join(flagged, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms")), "terms")
+    return stage_table(pairs.select("doc_id", "entity", "term").join(flagged, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms")), "terms")
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
