@@ -128,6 +128,16 @@ def test_pages_with_other_layouts(spark):
     assert wrappers.extract_pages(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = lambda t, p: f"<body><article><h1>{t}</h1><p>{p}</p></article><div>All rights reserved</div></body>"
+    rows = [(None, "http://h/a", page("Same", "one text"))] * 20 + [(i, "http://h/b", page(f"Title {i}", f"text {i}")) for i in range(3)]
+    rows += [(50 + i, "http://copies/", page("Same", "one text")) for i in range(4)]
+    rows += [(60 + i, "http://plain/", f"<body><div>All rights reserved</div><p>text {i}</p></body>") for i in range(3)]
+    got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    want = {None: "Same\n\none text"} | {i: f"Title {i}\n\ntext {i}" for i in range(3)} | {50 + i: "Same\n\none text" for i in range(4)} | {60 + i: f"text {i}" for i in range(3)}
+    assert len(got) == 30 and all(r["text"] == want[r["page_id"]] for r in got)
+
+
 def test_wrapper_is_a_union_free_expression():
     a = wrappers.infer(["<ul><li>x<li>y</ul><p>one", "<ul><li>z</ul><h2>t</h2><p>two<p>three"])
     assert "".join(p.expression() for p in a) == "<ul>(<li>#</>)+</>(<h2>'t'</>)?(<p>#</>)+"
