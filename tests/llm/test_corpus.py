@@ -138,6 +138,13 @@ def test_copies_of_a_page_are_no_template(spark):
     assert len(got) == 30 and all(r["text"] == want[r["page_id"]] for r in got)
 
 
+def test_main_element_is_asked_of_pages_that_have_it(spark):
+    kinds = {"a": "<article><p>text {0}</p></article><p>beside</p>", "b": "<div class=content><p>text {0}</p></div>", "c": "<main><p>text {0}</p></main><div>beside {0}</div>"}
+    rows = [(i, "http://h/", "<body><nav>menu</nav>" + kinds["aaab"[i % 4] if i < 40 else "c"].format(i) + "</body>") for i in range(44)]
+    got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"text {i}") for i in range(44)]
+
+
 def test_wrapper_is_a_union_free_expression():
     a = wrappers.infer(["<ul><li>x<li>y</ul><p>one", "<ul><li>z</ul><h2>t</h2><p>two<p>three"])
     assert "".join(p.expression() for p in a) == "<ul>(<li>#</>)+</>(<h2>'t'</>)?(<p>#</>)+"
