@@ -7,6 +7,12 @@ ranked pair is finished and its surviving symbols are its tokens. As a merged
 symbol's own pairs always rank after the pair that made it, this gives what
 merging one pair after the other gives.
 
+Pre-tokens of more than ``LONG`` characters, such as unbroken runs of letters,
+would take a pass over all their symbols for each rank. Their array keeps its
+pairs in lists by rank instead; each step takes the list of the lowest rank and
+looks again only at pairs next to its merges, so time grows with the length
+times its logarithm.
+
 A text is cut at spaces and line feeds, where no pre-token can cross; counts
 of the pieces are remembered in a dictionary of bounded size in each Python
 worker. Whole texts are counted, whatever their length.
@@ -19,6 +25,7 @@ makes of them by default.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -34,6 +41,8 @@ LIMIT = 2048
 #: Pieces remembered in a worker, and the longest of them.
 MEMORY = 400_000
 LONGEST = 48
+#: Pre-tokens longer than this keep their pairs in lists by rank.
+LONG = 64
 
 #: Pieces of only these characters can be cut further, into runs that the vocabulary's own rules would part as well: no
 #: apostrophe (contractions), no "<|" (special strings), and only letters that normal form and lower case leave single.
@@ -64,6 +73,7 @@ class RankMerger:
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
+        self.made_by_rank = made
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -102,11 +112,71 @@ class RankMerger:
     def merge_counts(self, words: list[str]) -> np.ndarray:
         """Surviving symbols of each pre-token."""
         counts = np.zeros(len(words), dtype=np.int64)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        long = np.fromiter((len(w) > LONG for w in words), dtype=bool, count=len(words))
+        for few, count in ((np.flatnonzero(~long), self.merge_together), (np.flatnonzero(long), self.merge_by_rank)):
+            if len(few):
+                counts[few] = count([words[i] for i in few])
+        return counts
+
+    def ragged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words as one array, and whose each is."""
         vocab, end = self.vocab, self.end
         flat = [x for w in words if w for x in (*(vocab[c] for c in w[:-1]), vocab[w[-1] + end])]
-        symbols = np.array(flat, dtype=np.int64)
-        owner = np.repeat(np.arange(len(words)), lengths)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        return np.array(flat, dtype=np.int64), np.repeat(np.arange(len(words)), lengths)
+
+    def merge_by_rank(self, words: list[str]) -> np.ndarray:
+        """Surviving symbols of long pre-tokens: linked positions, and lists of pairs by rank."""
+        symbols, owner = self.ragged(words)
+        n, none = len(symbols), np.iinfo(np.int64).max
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, none)
+        alive = np.ones(n, dtype=bool)
+        lists: dict[int, list[np.ndarray]] = {}
+        todo: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Ranks of the pairs that start at these positions, entered in the lists."""
+            second = np.minimum(after[at], n - 1)
+            pair = symbols[at] * self.width + symbols[second]
+            key = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            known = (self.keys[key] == pair) & (after[at] < n) & (owner[second] == owner[at])
+            rank[at] = np.where(known, self.rank[key], none)
+            at = at[known]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            ranks, starts = np.unique(rank[at], return_index=True)
+            for r, part in zip(ranks.tolist(), np.split(at, starts[1:]), strict=True) if len(at) else ():
+                if r not in lists:
+                    lists[r] = []
+                    heapq.heappush(todo, r)
+                lists[r].append(part)
+
+        look(np.arange(n))
+        while todo:
+            r = heapq.heappop(todo)
+            at = np.unique(np.concatenate(lists.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # of overlapping pairs, as in "aaa", the first, third, ... of the run merge
+            first = np.append(True, after[at[:-1]] != at[1:])
+            index = np.arange(len(at))
+            at = at[(index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0]
+            gone = after[at]
+            alive[gone], rank[gone] = False, none
+            symbols[at] = self.made_by_rank[r]
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left = before[at]
+            look(np.unique(np.concatenate([at, left[left >= 0]])))
+        return np.bincount(owner[alive], minlength=len(words))
+
+    def merge_together(self, words: list[str]) -> np.ndarray:
+        """Surviving symbols of short pre-tokens: each step passes over all that are left."""
+        counts = np.zeros(len(words), dtype=np.int64)
+        symbols, owner = self.ragged(words)
         none = np.iinfo(np.int64).max
         while len(symbols):
             pair = symbols[:-1] * self.width + symbols[1:]
