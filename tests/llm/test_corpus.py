@@ -89,28 +89,76 @@ def test_packing_round_trip(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_token_counts_of_unbroken_text(spark):
+    rng = random.Random(3)
+    t = library()
+    texts = ["".join(rng.choice(a) for _ in range(n)) for n in (63, 64, 65, 500, 30_000) for a in ("a", "acgt", "abcdefghijklmnopqrstuvwxyz", ["ss", "the", "in", "é", "'s"])]
+    texts.append("".join(rng.choice("abcdefghij") for _ in range(1_000_000)))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(df).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    lengths = sum(r["length"] for r in packing.pack_documents(df).collect())
+    assert lengths == sum(got.values()) + len(texts)
+
+
+def brute_neighbours(rows, q, k=10):
+    """(vec_id, distance) of the k nearest rows of q's id and vector, nearest first."""
+    i, v = q
+    d = sorted({(float(np.sqrt(np.square(np.array(x) - np.array(v)).cumsum()[-1])), j) for j, x in rows if j != i and len(x) == len(v)})
+    return [(j, far) for far, j in d[:k]]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16))
-    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [None] * 16, 0), (1004, rows0 := [float(v) for v in x[7]], 0), (1005, rows0, 0)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, extra int")
-    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=200, block_rows=10).collect()
-    assert not {r["vec_id"] for r in got} & {1000, 1001, 1002, 1003}
-    points = np.vstack([x, x[7:8], x[7:8]])
-    ids = np.array([*range(600), 1004, 1005])
+    good = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    good += [(1004, good[7][1]), (1005, good[7][1]), (1020, good[20][1]), (20, good[30][1]), good[40]]
+    good += [(2000 + 20 * i, [float(v) for v in rng.standard_normal(3)]) for i in range(6)] + [(3000, [1.0])]
+    bad = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16)]
+    df = spark.createDataFrame([(i, v, 0, 0.0) for i, v in good + bad], "vec_id bigint, embedding array<double>, score int, h double")
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=100, block_rows=7)
+    got = defaultdict(list)
+    for r in found.collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert not {v for g in got.values() for _, v, _ in g} & {i for i, _ in bad} and not set(got) & {1000, 3000}
     hits = total = 0
-    for q in [*range(0, 600, 20)]:
-        d = np.sqrt(np.square(points - x[q]).sum(axis=1))
-        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
-        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
-        assert [m[0] for m in mine] == list(range(1, 11))
-        assert all(abs(s - np.sqrt(np.square(points[list(ids).index(v)] - x[q]).sum())) < 1e-9 for _, v, s in mine)
-        hits += len({ids[i] for i in order} & {m[1] for m in mine})
-        total += 10
-    assert hits / total >= 0.9
+    for i, v in good:
+        if i % 20 == 0 and i not in (20, 3000):  # two vectors have the id 20
+            want, mine = brute_neighbours(good, (i, v)), sorted(got[i])
+            assert [m[0] for m in mine] == list(range(1, len(want) + 1))
+            far = {j: float(np.sqrt(np.square(np.array(y) - np.array(v)).cumsum()[-1])) for j, y in good if len(y) == len(v) and j != 20}
+            assert all(s == far[j] for _, j, s in mine if j != 20) and mine == sorted(mine, key=lambda m: (m[2], m[1]))
+            hits += len({j for j, _ in want} & {m[1] for m in mine})
+            total += len(want)
+    assert len(got[20]) == 20 and hits / total >= 0.9
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_a_hot_vector_and_clusters(spark):
+    """A third of the rows share one vector; of clustered vectors few distances are computed, in many tasks."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 24)) * 4
+    x = centres[rng.integers(0, 60, 2000)] + 0.3 * rng.standard_normal((2000, 24))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000 + i, [1.5] * 24) for i in range(1000)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, shard_rows=150, block_rows=20).collect()
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["vec_id"])
+    assert all(got[5000 + i] == [j for j in range(5000, 5011) if j != 5000 + i][:10] for i in range(0, 1000, 20))
+    queries = range(0, 2000, 100)
+    assert np.mean([len({j for j, _ in brute_neighbours(rows[:2000], rows[q])} & set(got[q])) / 10 for q in queries]) >= 0.9
+    assert np.mean([r["n_compared"] for r in found if r["query_id"] < 2000]) < 0.15 * 2000
+
+
+def test_recall_of_neighbours(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], [float(v) for v in r["embedding"]]) for r in df.collect()]
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 5 == 0, shard_rows=100, block_rows=9).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len({j for j, _ in brute_neighbours(rows, (i, v))} & got[i]) / 10 for i, v in rows if i % 5 == 0]) >= 0.9
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(pages).collect()}
@@ -128,14 +176,40 @@ def test_pages_with_other_layouts(spark):
     assert wrappers.extract_pages(df.limit(0)).count() == 0
 
 
+def extracted(spark, rows):
+    got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows)
+    return {r["page_id"]: r["text"] for r in got}
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = lambda t, p: f"<body><article><h1>{t}</h1><p>{p}</p></article><div>All rights reserved</div></body>"
     rows = [(None, "http://h/a", page("Same", "one text"))] * 20 + [(i, "http://h/b", page(f"Title {i}", f"text {i}")) for i in range(3)]
-    rows += [(50 + i, "http://copies/", page("Same", "one text")) for i in range(4)]
-    rows += [(60 + i, "http://plain/", f"<body><div>All rights reserved</div><p>text {i}</p></body>") for i in range(3)]
-    got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
-    want = {None: "Same\n\none text"} | {i: f"Title {i}\n\ntext {i}" for i in range(3)} | {50 + i: "Same\n\none text" for i in range(4)} | {60 + i: f"text {i}" for i in range(3)}
-    assert len(got) == 30 and all(r["text"] == want[r["page_id"]] for r in got)
+    plain = lambda t: f"<body><div>All rights reserved</div><h1>Title</h1><p>{t}</p></body>"
+    want = {None: "Same\n\none text"} | {i: f"Title {i}\n\ntext {i}" for i in range(3)}
+    for n in (1, 2, 3, 8):  # equal pages of a host: one content, however many
+        rows += [(100 * n + i, f"http://copies{n}/", page("Same", "one text")) for i in range(n)] + [(100 * n + 50 + i, f"http://plain{n}/", plain("one text")) for i in range(n)]
+        want |= {100 * n + i: "Same\n\none text" for i in range(n)} | {100 * n + 50 + i: "All rights reserved\n\nTitle\n\none text" for i in range(n)}
+    rows += [(1000 + i, "http://different/", plain(f"text {i} " * 9)) for i in range(2)]
+    want |= {1000 + i: "Title\n\n" + (f"text {i} " * 9).strip() for i in range(2)}
+    assert extracted(spark, rows) == want
+
+
+def test_what_an_article_keeps(spark):
+    inner = "<header class='post-header'><h1>Title</h1></header><p><a href=x>link paragraph</a></p><p>tail text</p><figure><img><figcaption>caption</figcaption></figure><fieldset><label>label</label></fieldset>"
+    out = "<div class='comments'><article><p>mine, and much longer than all the text of the article itself, that is for sure, yes</p></article></div><form>form</form><nav>menu</nav>"
+    want = "Title\n\nlink paragraph\n\ntail text\n\ncaption\n\nlabel"
+    rows = [(1, "http://a/", f"<div class='with-sidebar widget-page sidebar'><article>{inner}{out}</article>{out}</div>"), (2, "http://b/", f"<div class=page><main>{inner}{out}</main></div>")]
+    rows += [(3, "http://c/", "<div class=with-sidebar><div><p>only text</p></div><div class=sidebar>no</div></div>"), (4, "http://d/", "<div class=widget><p>only text</p></div>"), (5, "http://e/", "<main><p>long text of the page is here, and more of it</p><article>teaser</article></main>")]
+    assert extracted(spark, rows) == {1: want, 2: want, 3: "only text", 4: "only text", 5: "long text of the page is here, and more of it\n\nteaser"}
+
+
+def test_long_and_deep_pages(spark):
+    rows = [(1, "http://a/", "<div>" * 10_000 + "<p>deep</p>"), (2, "http://a/", "<p>before</p>" + '<a "' * 250_000), (3, "http://a/", "<div>t" * 5_000 + "</section>" * 5_000), (4, "http://b/", "<h2>a</h2><p>b</p>" * 10_000)]
+    rows += [(5, "http://c/", "".join(f"<x{i}>a</x{i}>" for i in range(5_000))), (6, "http://c/", "<p>" * 20_000 + "x" * 1_000_000)]
+    got = extracted(spark, rows)
+    assert got[1] == "deep" and got[2] == "before" and got[3].split("\n\n") == ["t"] * 5_000
+    assert got[4].split("\n\n") == ["a", "b"] * 10_000 and got[5].split("\n\n") == ["a"] * 5_000 and got[6] == "x" * 1_000_000
 
 
 def test_main_element_is_asked_of_pages_that_have_it(spark):
@@ -146,8 +220,25 @@ def test_main_element_is_asked_of_pages_that_have_it(spark):
 
 
 def test_wrapper_is_a_union_free_expression():
-    a = wrappers.infer(["<ul><li>x<li>y</ul><p>one", "<ul><li>z</ul><h2>t</h2><p>two<p>three"])
-    assert "".join(p.expression() for p in a) == "<ul>(<li>#</>)+</>(<h2>'t'</>)?(<p>#</>)+"
+    said = lambda *pages: wrappers.expression(wrappers.infer(list(pages)))
+    assert said("<ul><li>x<li>y</ul><p>one", "<ul><li>z</ul><h2>t</h2><p>two<p>three") == "<ul>(<li>#</>)+</>(<h2>#</>)?(<p>#</>)+"
+    group = said("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><div>e</div>", "<h2>a</h2><p>b</p>")
+    assert group == "((<h2>#</>)+(<p>#</>)+)+(<div>#</>)?"
+
+
+def test_pages_are_parsed_by_wrappers():
+    wrapper = wrappers.read(wrappers.written(wrappers.infer(["<div><p>a</p></div><p>b</p><ul><li>c<li>d</ul>", "<div><p>a</p></div><h2>t</h2><p>b</p>"])))
+    nodes = wrappers.nodes_of("<div><p>x</p></div><p>y</p><ul><li>1<li>2<li>3</ul><h6>z</h6>")
+    wrappers.parse(wrapper, nodes[0])
+    slots = {n.text: n.slot for n in nodes if n.text is not None}
+    # both paragraphs have a slot of their own, list items share one, and what the wrapper lacks has none
+    assert len({slots["x"], slots["y"], slots["1"]}) == 3 and slots["1"] == slots["2"] == slots["3"] and slots["z"] == -1
+
+
+def test_wrappers_of_many_shapes_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FAN_IN", 3)
+    rows = [(i, "http://h/", f"<body><div>All rights reserved</div><div class=k{'x' * (i % 20)}><p>text {i} is here, and long enough</p></div></body>") for i in range(40)]
+    assert extracted(spark, rows) == {i: f"text {i} is here, and long enough" for i in range(40)}
 
 
 def test_chat_round_trip(spark):
