@@ -12,9 +12,10 @@ one from each undoes it exactly.
 
 Defined results: null roles and texts are empty; turns with equal number are
 ordered by role, then text, nulls first; a null turn comes first; repeated rows
-are turns of their own; an empty table gives an empty result; extra columns of
-the row layout are ignored. A record whose fingerprint has no mapping gets null
-turns. One conversation is one row, so a conversation has to fit in a task.
+are turns of their own; an empty table gives an empty result; columns that the
+chosen layout doesn't know are ignored, whatever their names. A record whose
+fingerprint has no mapping gets null turns. Very long texts are rendered whole.
+One conversation is one row, so a conversation has to fit in a task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, table
+from .common import let, running, table
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Control strings of common chat templates: one of two first characters, then one of these.
@@ -88,8 +89,19 @@ def _instruction(get: Callable[[str], Column]) -> Column:
     return F.array(_turn("user", ask), _turn("assistant", get("output")))
 
 
+def turns_of_rows(rows: DataFrame, key: str) -> DataFrame:
+    """key, turns for one row a turn."""
+    turn = F.struct("turn", "role", "text")
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t")).select(F.col("conv_id").alias(key), F.transform("t", lambda x: _turn(x["role"], x["text"])).alias("turns"))
+
+
+def record(mapping: Callable[[Callable[[str], Column]], Column]) -> Callable[[DataFrame, str], DataFrame]:
+    """The layout of one row a conversation, with a mapping from its fields to turns."""
+    return lambda df, key: df.select(key, F.coalesce(mapping(F.col), F.array().cast(TURNS_TYPE)).alias("turns"))
+
+
 #: Layouts of one record: leaf paths -> mapping to turns. Each mapping gets a function from field name to Column.
-LAYOUTS: dict[tuple[str, ...], Callable[[Callable[[str], Column]], Column]] = {
+RECORDS: dict[tuple[str, ...], Callable[[Callable[[str], Column]], Column]] = {
     ("messages[].content", "messages[].role"): _list("messages", "role", "content"),
     ("conversations[].from", "conversations[].value"): _list("conversations", "from", "value"),
     ("prompt", "response"): _pair("prompt", "response"),
@@ -98,29 +110,33 @@ LAYOUTS: dict[tuple[str, ...], Callable[[Callable[[str], Column]], Column]] = {
     ("instruction", "output"): _pair("instruction", "output"),
     ("input", "instruction", "output"): _instruction,
 }
-#: The layout of one row a turn, and the type of each field that arrays of JSON records have.
+#: The layout of one row a turn.
 ROW_LAYOUT = ("conv_id", "role", "text", "turn")
+#: All layouts of tables: leaf paths -> function of a table and its key.
+LAYOUTS: dict[tuple[str, ...], Callable[[DataFrame, str], DataFrame]] = {ROW_LAYOUT: turns_of_rows} | {paths: record(mapping) for paths, mapping in RECORDS.items()}
+#: The type of each field that arrays of JSON records have.
 _JSON_TYPES = {
     "messages": "array<struct<role:string,content:string>>",
     "conversations": "array<struct<from:string,value:string>>",
 }
 
 
-def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, turns for one row a turn."""
-    turn = F.struct("turn", "role", "text")
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t")).select("conv_id", F.transform("t", lambda x: _turn(x["role"], x["text"])).alias("turns"))
+def layout_of(paths: list[str]) -> tuple[str, ...] | None:
+    """The layout whose fingerprint the paths have, or else that they have without paths that the layout doesn't know; of several the one with most paths, then the first."""
+    by_print = {fingerprint(list(k)): k for k in LAYOUTS}
+    for some in (paths, *([p for p in paths if p in k] for k in sorted(LAYOUTS, key=len, reverse=True))):
+        if (found := by_print.get(fingerprint(some))) is not None:
+            return found
+    return None
 
 
 def canonical_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, turns: the mapping is chosen by the fingerprint of the table's field paths, without the key."""
-    if set(ROW_LAYOUT) <= set(df.columns):
-        return turns_of_rows(df.select(*ROW_LAYOUT)).withColumnRenamed("conv_id", key)
-    paths = field_paths(T.StructType([f for f in df.schema.fields if f.name != key]))
-    mapping = {fingerprint(list(k)): v for k, v in LAYOUTS.items()}.get(fingerprint(paths))
-    if mapping is None:
+    """key, turns: the mapping is chosen by the fingerprint of the table's field paths."""
+    paths = field_paths(df.schema)
+    layout = layout_of(paths)
+    if layout is None:
         raise ValueError(f"no layout has the paths {paths}")
-    return df.select(key, F.coalesce(mapping(F.col), F.array().cast(TURNS_TYPE)).alias("turns"))
+    return LAYOUTS[layout](df, key)
 
 
 def canonical_records(df: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
@@ -138,7 +154,7 @@ def canonical_records(df: DataFrame, key: str = "conv_id", record: str = "record
 
     get = lambda name: F.try_variant_get(value, f"$.{name}", _JSON_TYPES.get(name, "string"))
     turns = F.when(F.lit(False), F.lit(None).cast(TURNS_TYPE))
-    for paths, mapping in LAYOUTS.items():
+    for paths, mapping in RECORDS.items():
         turns = turns.when(F.col("fingerprint") == hashlib.sha256(as_shape(paths).encode()).hexdigest(), mapping(get))
     return df.withColumn("fingerprint", F.sha2(shape, 256)).select(key, "fingerprint", turns.alias("turns"))
 
@@ -151,16 +167,18 @@ def render(turns: Column) -> Column:
 
 def loss_spans(turns: Column) -> Column:
     """(start, length) in code points of each learned text in the formatted string, escapes included."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    sized = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.length(escape(t["role"])).cast("long").alias("head"), F.length(escape(t["text"])).cast("long").alias("length")))
+
+    def of(x: Column, at: Column) -> Column:
+        def span(t: Column, i: Column) -> Column:
+            return F.when(t["role"] == LEARNED_ROLE, F.struct((F.get(at, i) + t["head"] + len(TURN) + len(SAYS)).alias("start"), t["length"].alias("length")))
+
+        return F.filter(F.transform(x, span), lambda s: s.isNotNull())
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(escape(t["role"])) + len(TURN) + len(SAYS)
-        size = F.length(escape(t["text"])).cast("long")
-        span = F.struct(start.cast("long").alias("start"), size.alias("length"))
-        spans = F.when(t["role"] == LEARNED_ROLE, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((start + size + len(END)).cast("long").alias("at"), spans.alias("spans"))
+    def starts(x: Column) -> Column:
+        return running(F.transform(x, lambda t: t["head"] + t["length"] + len(TURN) + len(SAYS) + len(END)), F.lit(0), lambda at, n: at + n)
 
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+    return let(sized, lambda x: let(starts(x), lambda at: of(x, at)))
 
 
 def read_back(formatted: Column) -> Column:

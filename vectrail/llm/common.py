@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Separators of words: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -19,27 +21,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one, else a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one, else the session's checkpoint folder.
+
+    Only a session in one process may do without both; it uses a folder under /tmp.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             folder = jvm_dir.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             folder = "/tmp/checkpoints/vectrail"
-            spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    Lazy results may read the table as long as the session lives; it is deleted when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vectrail-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+@atexit.register
+def drop_tables() -> None:
+    """Delete the tables of ``stage_table`` whose session still runs; callers may do so earlier, once no result reads them."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended, and its tables stay for whoever clears the folder
+            return
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over batches of bounded bytes, so that long texts don't make a batch that outgrows a worker.
 
     The bound becomes a setting of the session, as plans read it when they run.
@@ -53,6 +90,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` makes of zero and all values before each one.
+
+    Appending to an array copies it, so values go in pieces of the square root of their number.
+    """
+    kind = "array<bigint>"
+
+    def fold(piece: Column, start: Column) -> Column:
+        first = F.struct(start.cast("long").alias("at"), F.array().cast(kind).alias("all"))
+        go = lambda acc, v: F.struct(step(acc["at"], v).cast("long").alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+        return F.aggregate(piece, first, go)
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        return let(F.ceil(F.sqrt(n)).cast("int"), lambda width: in_pieces(x, n, width))
+
+    def in_pieces(x: Column, n: Column, width: Column) -> Column:
+        places = F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1)
+        piece = lambda k: F.slice(x, k * width + 1, width)
+        totals = F.transform(places, lambda k: F.aggregate(piece(k), zero.cast("long"), lambda a, v: step(a, v).cast("long")))
+        starts = fold(totals, zero)["all"]
+        return let(starts, lambda s: F.flatten(F.transform(places, lambda k: fold(piece(k), F.get(s, k))["all"])))
+
+    return let(values, lambda x: F.when(F.size(x) <= 16, fold(x, zero)["all"]).otherwise(of(x)))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none of a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -8,16 +8,24 @@ one to the other, keeping both expectations and the sum, until one of them is
 the words of the two are nearly the same and the source's words stay near its
 target.
 
+Rows of one doc_id, source and size are one document with a number of rows:
+their copies are counted together, dealt out evenly, and only the fraction of
+their sum takes part. So repeated rows, however many, are one row of the
+tournament.
+
 The tournament is a reduction tree. Documents are dealt to leaves of about
 ``LEAF`` rows by a hash, each leaf leaves at most one undecided document, and
 those meet again, ``FAN_IN`` leaves in a group, up to the root of each source.
 A source with a third of all rows has more leaves, not a larger one. Random
-numbers are hashes of the two documents, so reruns agree.
+numbers are hashes of the two documents, so reruns agree. Sources are ranked
+and their level is found by distributed sorts and sums, so there may be many.
 
 Defined results: a null text has size 0; a source whose words are none has
-target 0; a null source is a source of its own, last in order; an empty table
-gives an empty result; repeated rows are rounded as rows of their own; extra
-columns are not read by ``mix_sizes`` and kept by ``take_copies``.
+target 0; a null source is a source of its own, last in order; a null doc_id is
+an id like others; an empty table gives an empty result; repeated rows each get
+their share of the copies; very long texts are only counted and joined; extra
+columns are not read by ``mix_sizes`` and kept by ``take_copies``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,14 +35,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, stage_table, table
+from .common import WORD_GAP, free_names, stage_table, table
 
 MAX_COPIES = 3
 LEAF = 2048
 FAN_IN = 256
 WEIGHTS = (1, 2, 3)
 
-ROWS = "doc_id long, source string, size long, source_size long, target double, whole long, p double, copy int"
+ROWS = "doc_id long, source string, size long, n_rows long, source_size long, target double, whole long, p double, copy int"
 
 
 def n_words(text: Column) -> Column:
@@ -43,26 +51,36 @@ def n_words(text: Column) -> Column:
     return (F.size(parts) - ends).cast("long")
 
 
+def ranked(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows``, written in the order of ``by`` with nulls last, with their place from 0 as ``place``. Only counts of partitions meet in one task."""
+    done = stage_table(rows.orderBy(F.col(by).asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()), name)
+    # an id is the partition's number times 2**33 and the row's place in it
+    part = F.shiftright("id", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = done.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return done.withColumn("part", part).join(starts, "part").withColumn("place", F.col("start") + F.col("id") - F.shiftleft("part", 33)).drop("id", "part", "start")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
-    """source, source_size, n_docs, target: one row for each source.
+    """source, source_size, n_docs, target: one row for each source. ``sizes`` has source, size and n_rows.
 
-    Shares are weight * level, stopped at cap * size. With sources in rising
-    order of cap * size / weight, those stopped are a prefix, so running sums
-    give the one level at which shares add up to all sizes.
+    Shares are weight * level, stopped at cap * size: each turn finds the level
+    of the sources that aren't stopped, and stops those it lifts too high.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    by_name = Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("weight", weight.cast("double")).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    by_ratio = Window.partitionBy(F.lit(1)).orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    everything = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / open_weight).withColumn("stopped", F.col("level") * F.col("weight") > F.col("most"))
-    # the level of the first source that isn't stopped holds for all after it
-    final = F.min(F.when(~F.col("stopped"), F.struct((F.col("most") / F.col("weight")).alias("r"), F.col("level").alias("l")))).over(everything)["l"]
-    return per.withColumn("final", final).select("source", "source_size", "n_docs", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("most"), F.coalesce(F.col("weight") * F.col("final"), F.col("most")))).alias("target"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")).cast("double")
+    per = stage_table(ranked(per, "source", "sources").withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap))), "weights")
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0)
+    level, stopped = 0.0, -1
+    while True:
+        # the level only rises, so what is stopped once stays so
+        over = F.lit(level) * F.col("weight") > F.col("most") if stopped >= 0 else F.lit(False)
+        n, used, open_weight = per.agg(F.count_if(over), F.sum(F.when(over, F.col("most")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        if not open_weight or n == stopped:
+            break
+        stopped, level = n, (total - used) / open_weight
+    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("most"), F.col("weight") * F.lit(level)))
+    return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def uniform(a: int, b: int, level: int) -> float:
@@ -118,18 +136,19 @@ def decider(level: int, last: bool):
     return decide
 
 
-def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, leaf_rows: int = LEAF) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for rows of (doc_id, source, size), which should be a written table."""
-    targets = stage_table(source_targets(sizes, weights), "targets")
+def mix_documents(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, leaf_rows: int = LEAF) -> DataFrame:
+    """doc_id, source, size, n_rows, source_size, target, copies (of all rows together): one row for each doc_id, source and size of ``sizes``, which should be a written table."""
+    documents = stage_table(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "documents")
+    targets = stage_table(source_targets(documents, weights), "targets")
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.col("n_rows") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     leaves = F.ceil(F.col("n_docs") / F.lit(leaf_rows))
     rows = (
-        sizes.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        documents.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("whole", F.floor(rate).cast("long"))
         .withColumn("p", rate - F.col("whole"))
         .withColumn("leaf", F.pmod(F.xxhash64("doc_id", "size"), leaves).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "whole", "p", "leaf")
+        .select("doc_id", "source", "size", "n_rows", "source_size", "target", "whole", "p", "leaf")
     )
     n, level, done = max(1, -(-int(most_docs) // leaf_rows)), 0, []
     while True:
@@ -144,22 +163,47 @@ def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, leaf_rows: i
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("copy")).alias("copies"))
+    return out.select("doc_id", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("copy")).alias("copies"))
+
+
+def times(n: Column, at: str, df: DataFrame) -> DataFrame:
+    """Rows of ``df`` n times each, numbered from 1 as ``at``; numbers come in pieces, so none is a long array."""
+    piece = 4096
+    some = df.withColumn(at, n.cast("long")).filter(F.col(at) > 0).withColumn(at, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(at) - 1, F.lit(piece).cast("long")), lambda k: F.struct(k.alias("from"), F.least(k + piece, F.col(at)).alias("to")))))
+    return some.withColumn(at, F.explode(F.sequence(F.col(at)["from"] + 1, F.col(at)["to"])))
+
+
+def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, leaf_rows: int = LEAF) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for rows of (doc_id, source, size), which should be a written table."""
+    rows = times(F.col("n_rows"), "at", mix_documents(sizes, weights, leaf_rows))
+    own = F.floor(F.col("copies") / F.col("n_rows")) + (F.col("at") <= F.col("copies") % F.col("n_rows")).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", own.alias("copies"))
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return stage_table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    return stage_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
 
 
 def take_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows of one doc_id are told apart by their order."""
-    one = Window.partitionBy("doc_id").orderBy("source", "_size")
-    mixed = mix_sizes(sizes_of(docs)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    mixed = mixed.withColumn("_m", F.row_number().over(Window.partitionBy("_id").orderBy("_s", "_z", "copies"))).filter("copies > 0")
-    rows = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_r", F.row_number().over(one))
-    # written as a range, so that the exchange by doc_id serves the window and the join
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_r") <= F.col("_m")) & (F.col("_r") >= F.col("_m"))
-    return rows.join(mixed, same).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """``docs`` with each row as often as the mix takes it.
+
+    Only doc_id, source and size go through the mix; texts meet their copies in
+    one join. Rows that share all three are counted as whole rows and get their
+    share in the order of a hash.
+    """
+    size, i, s, z, n, copies, at, same, before = free_names(docs.columns, "size", "i", "s", "z", "n", "copies", "at", "same", "before")
+    mixed = stage_table(mix_documents(sizes_of(docs)).select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), F.col("n_rows").alias(n), F.col("copies").alias(copies)).filter(F.col(copies) > 0), "copies")
+    key = (F.col("doc_id").cast("long").eqNullSafe(F.col(i))) & (F.col("source").eqNullSafe(F.col(s))) & (F.col(size) == F.col(z))
+    sized = docs.withColumn(size, n_words(F.col("text")))
+    single = sized.join(mixed.filter(F.col(n) == 1), key).withColumn(copies, F.col(copies).cast("long"))
+    # equal rows are one row with their number, so only different ones are put in order
+    repeated = sized.join(mixed.filter(F.col(n) > 1), key).groupBy(*docs.columns, i, s, z, n, copies).agg(F.count(F.lit(1)).alias(same))
+    order = Window.partitionBy(i, s, z).orderBy(F.xxhash64(*docs.columns), *(c for c in ("text",) if c in docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col(copies) % F.col(n)
+    more = F.least(F.col(before) + F.col(same), left) - F.least(F.col(before), left)
+    repeated = repeated.withColumn(before, F.coalesce(F.sum(same).over(order), F.lit(0))).withColumn(copies, F.floor(F.col(copies) / F.col(n)) * F.col(same) + more)
+    rows = single.select(*docs.columns, copies).unionByName(repeated.select(*docs.columns, copies))
+    return times(F.col(copies), at, rows).select(*docs.columns)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

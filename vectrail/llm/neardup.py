@@ -16,14 +16,24 @@ two registers agree about as often as the sets' Jaccard similarity.
 Buckets are never expanded into all pairs. Round 1 compares each member with
 its bucket's first class, and round 2 with its bucket's class of most links.
 Round 3 takes the members of buckets that are then still in several components
-and pairs them, across components, where their rarest shingles meet (prefix
-and position filters, exact for every linked pair). Pairs inside one component
-need no comparison, so after round 3 every candidate link is decided.
-
-Defined results: a null text, or one without words, has size 0 and is a
-component of its own; fewer than 5 words are one shingle; rows that share a
-doc_id should share a text and then share a component; an empty table gives an
-empty result; extra columns are not read.
+and pairs them, across components, where their rarest shingles meet. Prefix and
+position filters are exact for every linked pair; a member that even the
+smallest set of its key can't be linked with goes before pairing, sizes are
+joined in ranges that linked sets can have, and keys of very many members are
+dealt out by a hash. Pairs inside one component need no comparison, so after
+round 3 every candidate link is decided.
+
+A document is a doc_id. Classes are told apart by their smallest doc_id, or by
+a hash where that has several texts or is null.
+
+Defined results: a null text, or one without words, has size 0 and is linked
+with nothing; fewer than 5 words are one shingle; rows that share a doc_id are
+one document, so their texts are linked, and each row has its own size; rows
+with a null doc_id are linked like others, with component_id null where no
+doc_id is reachable, and are never ``kept`` (``keep_one`` keeps one of those,
+too); repeated rows get the same result; very long texts are read whole; an
+empty table gives an empty result; extra columns are not read by
+``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +43,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, map_arrow, stage_table, table
+from .common import claim, free_names, map_arrow, stage_table, table
 
 WORDS = 5
 PERCENT = 75
@@ -46,8 +56,10 @@ FLOOR = 0.6
 #: Links a class confirms in round 1; the best by estimate.
 BEST = 2
 MEMORY = 250_000
-#: Counters of the order of shingles in round 3; the only part of it that reaches the driver.
-SLOTS = 1 << 18
+#: Fewest and most counters of the order of shingles in round 3, by how many shingles there are; they reach the driver.
+SLOTS, MOST_SLOTS = 1 << 18, 1 << 22
+#: Members of a key of round 3 that are paired in one task.
+HOT = 4096
 
 _U = np.uint64
 
@@ -134,7 +146,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 _shingler = Shingler()
-SKETCHED = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"
+SKETCHED = "doc_id long, th long, n_shingles long, h1 long, h2 long, sketch binary"
+
+
+def key_of_text() -> tuple[Column, Column]:
+    """doc_id and th, a text of a document."""
+    return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")
+
+
+def same_key(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
@@ -148,9 +169,9 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 h1 = [int(mix(s).sum(dtype=np.uint64)) for s in sets]
                 h2 = [int(mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64)) for s in sets]
                 signed = lambda xs: pa.array(np.array(xs, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed(h1), signed(h2), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), signed(h1), signed(h2), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "th", "n_shingles", "h1", "h2", "sketch"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SKETCHED)
+    return map_arrow(docs.select(*key_of_text(), "text"), run, SKETCHED)
 
 
 def registers(column: pa.Array) -> np.ndarray:
@@ -193,7 +214,7 @@ def with_estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are linked."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,19 +239,22 @@ def prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
     element on. Any order gives whole results. This one puts shingles of rarer
     hash slots first, so that what many texts share is seldom among the keys.
     """
-    sets = stage_table(members.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "label", "text"), "sets")
+    sets = stage_table(members.join(texts, "rep").select("rep", "label", "text"), "sets")
+
+    words = sets.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << int(words // 2).bit_length()))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(SLOTS, dtype=np.int64)
+        count = np.zeros(slots, dtype=np.int64)
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                count[(_shingler.shingles(t) % _U(SLOTS)).astype(np.int64)] += 1
+                np.add.at(count, (_shingler.shingles(t) % _U(slots)).astype(np.int64), 1)
         slot = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count[slot])], ["slot", "n"])
 
     told = map_arrow(sets.select("text"), tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(SLOTS, dtype=np.int64)
-    frequency[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    frequency = np.zeros(slots, dtype=np.int32)
+    frequency[told.column("slot").to_numpy()] = np.minimum(told.column("n").to_numpy(), 2**31 - 1)
     shared = sets.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +262,7 @@ def prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
             keys, sizes, left = [np.empty(0, dtype=np.uint64)], [], [np.empty(0, dtype=np.int64)]
             for t in batch.column("text").to_pylist():
                 s = _shingler.shingles(t)
-                often = shared.value[(s % _U(SLOTS)).astype(np.int64)]
+                often = shared.value[(s % _U(slots)).astype(np.int64)]
                 first = np.argsort(often, kind="stable")[: len(s) + (-len(s) * PERCENT) // 100 + 1]
                 met = np.flatnonzero(often[first] > 1)  # a slot's only shingle is in no other set
                 keys.append(s[first[met]])
@@ -279,20 +303,46 @@ def ordered(a: str, b: str, *more) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *more]
 
 
-def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between classes that suffice for the components, and the components."""
+def pairs_of_keys(apart: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels among the prefixes ``apart`` that the position filter leaves.
+
+    Every pair has a side that isn't of its key's commonest label, so a large component isn't paired with itself.
+    """
+    size, left = F.col("size"), F.col("left")
+    # a member goes if even the smallest set of its key is too large for what it has left
+    smallest = apart.groupBy("key").agg(F.min("size").alias("least"))
+    apart = apart.join(smallest, "key").filter(left * (100 + PERCENT) >= (size + F.col("least")) * PERCENT).drop("least")
+    shared = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    apart = stage_table(apart.join(shared, "key"), "apart")
+    counts = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.ceil(F.sum("n") / HOT).alias("parts"))
+    # linked sets lie in one range of sizes or in neighbouring ones, as ranges grow by more than 100 / PERCENT
+    span = F.floor(F.log(size) / F.lit(math.log(100 / PERCENT) + 1e-9))
+    apart = stage_table(apart.join(keys, "key").withColumn("is_major", F.col("label") == F.col("major")).withColumn("span", span).drop("major"), "apart")
+    # a key of many members: each outside member goes to one part, all others to each
+    dealt = apart.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    outside = apart.filter(~F.col("is_major")).select("key", F.explode(F.array(*(F.col("span") + d for d in (-1, 0, 1)))).alias("span"), F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("left").alias("left_x"))
+    enough = F.least("left", "left_x") * (100 + PERCENT) >= (F.col("size") + F.col("nx")) * PERCENT
+    met = dealt.join(outside, ["key", "span", "part"]).filter((F.col("label") != F.col("lx")) & enough & (F.col("is_major") | (F.col("rep") < F.col("x"))))
+    return met.select(*ordered("rep", "x")).distinct()
+
+
+def links(docs: DataFrame, reps: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links between classes that, with the ``known`` ones, suffice for the components, and the components. ``reps`` has the key of one text of each class."""
     keys = stage_table(band_keys(reps), "bands")
     order = F.struct(F.xxhash64("rep").alias("h"), "rep")
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order)["rep"].alias("center")).filter("n > 1")
     members = stage_table(keys.join(full.select("key", "center"), "key"), "members")
-    texts = stage_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    wanted = stage_table(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "th"), "wanted")
+    keyed = docs.select(*key_of_text(), "text")
+    texts = stage_table(keyed.join(wanted, same_key(keyed, wanted)).select("rep", "text").dropDuplicates(["rep"]), "texts")
 
     # round 1: the bucket's first class
     pairs = members.filter("rep <> center").select(*ordered("rep", "center")).distinct()
     guess = stage_table(with_estimates(pairs, reps), "estimates")
     later = Window.partitionBy("b").orderBy(F.desc("j"), "a")
-    best = guess.withColumn("r", F.row_number().over(later)).filter(F.col("r") <= BEST).unionByName(guess.filter(F.col("j") > 1), allowMissingColumns=True)
-    found = stage_table(confirm(best, texts), "links")
+    best = guess.withColumn("r", F.row_number().over(later)).filter(F.col("r") <= BEST)
+    found = stage_table(confirm(best, texts).unionByName(known), "links")
     label = stage_table(components(found), "labels")
 
     def labelled(found: DataFrame, label: DataFrame) -> DataFrame:
@@ -313,29 +363,64 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = labelled(found, label)
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     apart = prefixes(rows.join(mixed, "key").select("rep", "label").distinct(), texts)
-    shared = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    apart = stage_table(apart.join(shared, "key"), "apart")
-    counts = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = counts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("major"))
-    apart = stage_table(apart.join(major, "key").withColumn("is_major", F.col("label") == F.col("major")).drop("major"), "apart")
-    outside = apart.filter(~F.col("is_major")).select("key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("left").alias("left_x"))
-    enough = F.least("left", "left_x") * (100 + PERCENT) >= (F.col("size") + F.col("nx")) * PERCENT
-    pairs = apart.join(outside, "key").filter((F.col("label") != F.col("lx")) & enough & (F.col("is_major") | (F.col("rep") < F.col("x")))).select(*ordered("rep", "x")).distinct()
-    more = stage_table(confirm(with_estimates(pairs, reps), texts), "links")
+    more = stage_table(confirm(with_estimates(pairs_of_keys(apart), reps), texts), "links")
     found = found.unionByName(more)
     return found, stage_table(components(found), "labels")
 
 
+DIGEST = ("n_shingles", "h1", "h2")
+
+
+def resolve(docs: DataFrame) -> DataFrame:
+    """Of each row: doc_id, th, n_shingles, component_id, and ``keeper`` (doc_id, th), the text of its component that stands for all; null where the set is empty."""
+    sketched = stage_table(sketch_documents(docs), "sketches")
+    some = sketched.filter("n_shingles > 0")
+    # one text of each class: the smallest doc_id, nulls last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    classes = stage_table(some.groupBy(*DIGEST).agg(first.alias("k")).select(*DIGEST, "k.none", "k.doc_id", "k.th"), "classes")
+    # classes of one smallest doc_id: the first has it as its number
+    shared = classes.filter("not none").groupBy("doc_id").agg(F.min(F.struct(*DIGEST)).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("id"), "f")
+    other = F.col("none") | (F.col("f").isNotNull() & (F.col("f") != F.struct(*DIGEST)))
+    number = F.when(other, F.xxhash64(F.lit("class"), *DIGEST)).otherwise(F.col("doc_id"))
+    classes = stage_table(classes.join(shared, F.col("doc_id") == F.col("id"), "left").select(number.alias("rep"), *DIGEST, "none", "doc_id", "th"), "classes")
+    one = classes.select("rep", *(F.col(c).alias(f"c_{c}") for c in (*DIGEST, "doc_id", "th")))
+    same = F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("th") == F.col("c_th"))
+    for c in DIGEST:
+        same &= F.col(c) == F.col(f"c_{c}")
+    reps = stage_table(some.join(one, same).select("rep", "doc_id", "th", "n_shingles", "sketch").dropDuplicates(["rep"]), "reps")
+    # texts of one doc_id are linked
+    several = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*DIGEST)).alias("lo"), F.max(F.struct(*DIGEST)).alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    rep_of = lambda at, name: classes.select(F.struct(*DIGEST).alias(at), F.col("rep").alias(name))
+    known = stage_table(some.join(several, "doc_id").select("lo", F.struct(*DIGEST).alias("own")).distinct().join(rep_of("lo", "x"), "lo").join(rep_of("own", "y"), "own").filter("x <> y").select(*ordered("x", "y")), "known")
+    _, label = links(docs, reps, known)
+    classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    classes = stage_table(classes, "labelled")
+    keeper = classes.groupBy("label").agg(F.min(F.struct("none", "doc_id", "th")).alias("k")).select("label", F.struct("k.doc_id", "k.th").alias("keeper"))
+    of = classes.select(*DIGEST, "label").join(keeper, "label").select(*DIGEST, "keeper")
+    rows = sketched.select("doc_id", "th", *DIGEST).join(of, [*DIGEST], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("keeper.doc_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "th", "n_shingles", component.alias("component_id"), "keeper")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    sketched = stage_table(sketch_documents(docs), "sketches")
-    classes = stage_table(sketched.filter("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
-    reps = stage_table(sketched.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("n_shingles > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "reps")
-    _, label = links(docs, reps)
-    label = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("label", "rep").alias("label"))
-    rows = sketched.select("doc_id", "n_shingles", "h1", "h2").join(label, ["n_shingles", "h1", "h2"], "left")
-    component = F.coalesce("label", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return resolve(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component; rows without words stay."""
+    rows = resolve(docs).filter("n_shingles > 0")
+    stands = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("th") == F.col("keeper.th"))
+    keys = stage_table(rows.groupBy("doc_id", "th", stands.alias("stands")).agg(F.count(F.lit(1)).alias("n")), "kept")
+    gone, again = keys.filter("not stands"), keys.filter("stands and n > 1")
+    own, hashed = free_names(docs.columns, "own", "hashed")
+    keyed = docs.withColumns(dict(zip((own, hashed), key_of_text(), strict=True)))
+    is_in = lambda k: keyed[own].eqNullSafe(k["doc_id"]) & (keyed[hashed] == k["th"])
+    left = keyed.join(gone, is_in(gone), "left_anti")
+    # of equal texts of one doc_id one row stays
+    once = left.join(again, is_in(again), "left_anti").unionByName(left.join(again, is_in(again), "left_semi").dropDuplicates([own, hashed]))
+    return once.select(*docs.columns)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

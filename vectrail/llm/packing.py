@@ -14,7 +14,8 @@ groups. Every bin that isn't passed on is final, so no piece is ever dropped.
 
 Defined results: a null text is empty and is one piece that holds the end id;
 an empty table gives an empty result; repeated rows are packed as rows of
-their own; extra columns are not read.
+their own and dealt to different groups; very long texts are cut into pieces of
+the capacity; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -172,7 +173,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
     total = pieces.count()
     groups = max(1, -(-total // group))
     level, base, final = 0, 0, []
-    todo = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    # with the row's place in the table, so that equal rows don't meet in one group
+    todo = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     while True:
         last = groups == 1
         placed = stage_table(todo.groupBy("g").applyInPandas(packer(capacity, base, last), f"{PIECES}, g long, sequence_id long, offset long, on boolean"), f"pack{level}")

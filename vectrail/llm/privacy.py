@@ -22,8 +22,11 @@ positions are sums of lengths. Patterns are possessive and can't backtrack
 over long runs.
 
 Defined results: a null text is empty; an empty table gives an empty result;
-repeated rows each get their spans; extra columns pass through ``find_spans``;
-columns with the names of results are replaced.
+repeated rows, rows of one doc_id with different texts and rows with a null
+doc_id each get their spans as documents of their own; very long texts with
+very many spans take time in proportion to the spans times the square root of
+their number; extra columns pass through ``find_spans``, which takes other
+``names`` for its results where they would clash.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stage_table, table
+from .common import free_names, let, running, stage_table, table
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.9
@@ -52,6 +55,11 @@ SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 TERM = r"\p{L}{3,}+"
 
 
+def row_key() -> Column:
+    """What tells documents apart; rows of one doc_id may have different texts, and doc_id may be null."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         small = lambda x: let(F.regexp_replace(x, "^0+", ""), lambda z: (F.length(z) < 3) | ((F.length(z) == 3) & (z <= "255")))
@@ -74,18 +82,28 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def fenced(text: Column, pattern: str) -> Column:
+    """The text in parts, every second of which is a match."""
+    return F.split(F.regexp_replace(F.translate(text, FENCE, "\x02"), pattern, f"{FENCE}$0{FENCE}"), FENCE, -1)
+
+
 def matches(text: Column, pattern: str, kind: str, valid) -> Column:
     """Spans of the pattern's matches that are ``valid``, leftmost first."""
-    parts = F.split(F.regexp_replace(F.translate(text, FENCE, "\x02"), pattern, f"{FENCE}$0{FENCE}"), FENCE, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast(SPANS).alias("spans"))
+    parts = fenced(text, pattern)
 
-    def step(acc: Column, part: Column) -> Column:
-        end = (acc["at"] + F.length(part)).cast("long")
-        span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), end.alias("end"))
-        spans = F.when(acc["inside"] & valid(part), F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), spans.alias("spans"))
+    def spans(x: Column) -> Column:
+        starts = running(F.transform(x, lambda part: F.length(part).cast("long")), F.lit(0), lambda at, n: at + n)
+        return let(starts, lambda at: of(x, at))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    def of(x: Column, at: Column) -> Column:
+        # every second part is a match
+        def span(part: Column, i: Column) -> Column:
+            there = F.get(at, i)
+            return F.when((i % 2 == 1) & valid(part), F.struct(F.lit(kind).alias("kind"), there.alias("start"), (there + F.length(part)).cast("long").alias("end")))
+
+        return F.filter(F.transform(x, span), lambda s: s.isNotNull())
+
+    return let(parts, lambda x: F.when(F.size(x) == 1, F.array().cast(SPANS)).otherwise(spans(x)))
 
 
 def base_spans(text: Column) -> Column:
@@ -102,22 +120,28 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.split(text, r"\P{L}+")), F.lower))
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, entities, terms): one row for each document that holds an entity, with the distinct terms of its whole text."""
+def entities_of(text: Column) -> Column:
+    """A hash of each distinct base match of the text."""
 
-    def entity(s: Column) -> Column:
-        return F.xxhash64(s["kind"], F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    def of(kind: str) -> Column:
+        some = F.filter(fenced(text, PATTERNS[kind]), lambda m, i: (i % 2 == 1) & _valid(kind, m))
+        return F.when(text.rlike(SIGNS[kind]), F.transform(some, lambda m: F.xxhash64(F.lit(kind), m))).otherwise(F.array().cast("array<bigint>"))
 
-    return docs.filter(F.size("base") > 0).select("doc_id", F.array_distinct(F.transform("base", entity)).alias("entities"), terms_of(F.col("text")).alias("terms"))
+    return F.array_distinct(F.concat(*map(of, KINDS)))
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """(row, entities, terms): one row for each document that holds an entity, with the distinct terms of its whole text."""
+    return docs.filter(F.size("base") > 0).select(row_key(), entities_of(F.col("text")).alias("entities"), terms_of(F.col("text")).alias("terms"))
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, terms): the terms that disclose an entity of the document. ``docs`` has doc_id, text and base."""
+    """(row, terms): the terms that disclose an entity of the document. ``docs`` has doc_id, text and base."""
     seen = stage_table(mentions(docs), "mentions")
     df_entity = stage_table(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "entities")
     most = df_entity.agg(F.max("with_entity").alias("most")).first()["most"]
     if most is None:
-        return docs.select("doc_id", F.array().cast("array<string>").alias("terms")).limit(0)
+        return docs.select(row_key(), F.array().cast("array<string>").alias("terms")).limit(0)
     total = float(docs.count())
     # no term of more documents than this reaches the ratio with any entity, even if every document of the entity holds it
     bound = (1 + PRIOR) * most * (total / most) ** (1 - disclosure) + 1
@@ -125,9 +149,9 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFra
     df_term = stage_table(in_corpus.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")), "frequencies")
     # the commonest, at most 1000 times the mean number of terms a document, go before terms are dealt out
     common = df_term.filter(F.col("with_term") > max(bound, total / 1000)).select("term")
-    terms = seen.select("doc_id", "entities", F.explode("terms").alias("term")).filter(F.length("term") >= 3).join(common, "term", "left_anti")
+    terms = seen.select("row", "entities", F.explode("terms").alias("term")).filter(F.length("term") >= 3).join(common, "term", "left_anti")
     rare = terms.join(df_term.filter(F.col("with_term") <= bound), "term")
-    pairs = stage_table(rare.select("doc_id", F.explode("entities").alias("entity"), "term", "with_term"), "pairs")
+    pairs = stage_table(rare.select("row", F.explode("entities").alias("entity"), "term", "with_term"), "pairs")
     together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.first("with_term").alias("with_term"))
     scored = together.join(df_entity, "entity")
     own = F.log(total / F.col("with_entity"))
@@ -135,39 +159,55 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFra
     smooth = (F.col("together") + PRIOR * F.col("with_entity") / total) / (F.col("with_term") + PRIOR)
     pmi = F.log(smooth) + own
     flagged = stage_table(scored.filter((own > 0) & (pmi >= disclosure * own)).select("entity", "term"), "flagged")
-    return stage_table(pairs.select("doc_id", "entity", "term").join(flagged, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms")), "terms")
+    return stage_table(pairs.select("row", "entity", "term").join(flagged, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms")), "terms")
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """Adds ``base`` and ``spans`` (base and term spans) to rows with doc_id and text."""
-    with_base = docs.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
-    terms = disclosing_terms(with_base).select(F.col("doc_id").alias("_id"), F.col("terms").alias("_terms"))
+def find_spans(docs: DataFrame, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """Adds base spans, and base and term spans, under ``names`` to rows with doc_id and text."""
+    base, spans = names
+    row, own = free_names([*docs.columns, *names], "row", "terms")
     text = F.coalesce("text", F.lit(""))
-    known = matches(text, TERM, "term", lambda m: F.array_contains(F.col("_terms"), F.lower(m)))
-    clear = F.filter(known, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    more = F.when(F.col("_terms").isNotNull(), clear).otherwise(F.array().cast(SPANS))
-    return with_base.join(terms, with_base["doc_id"] == F.col("_id"), "left").withColumn("spans", F.concat("base", more)).drop("_id", "_terms")
+    with_base = docs.withColumn(base, base_spans(text))
+    terms = disclosing_terms(with_base.select("doc_id", "text", F.col(base).alias("base"))).select(F.col("row").alias(row), F.col("terms").alias(own))
+    known = matches(text, TERM, "term", lambda m: F.array_contains(F.col(own), F.lower(m)))
+    clear = F.filter(known, lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    more = F.when(F.col(own).isNotNull(), clear).otherwise(F.array().cast(SPANS))
+    # rows without base spans have no terms and no key to look up
+    key = F.when(F.size(base) > 0, row_key())
+    return with_base.withColumn(spans, key).join(terms, F.col(spans) == F.col(row), "left").withColumn(spans, F.concat(F.col(base), more)).drop(row, own)
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), joined).otherwise(F.array_append(acc, s))
+    def build(m: Column, before: Column) -> Column:
+        # finding a place in a text takes time by its distance from the start, so spans go in pieces, each with its own part of the text
+        width = F.ceil(F.sqrt(F.size(m))).cast("int")
+        cut = lambda x, a, b: F.substring(x, (a + 1).cast("int"), (b - a).cast("int"))
+
+        def some(k: Column) -> Column:
+            at = k * width
+            spans, base = F.slice(m, at + 1, width), F.get(before, at)
+
+            def with_part(part: Column) -> Column:
+                # a span that starts after all ends before it begins a new gap in the text
+                def piece(s: Column, i: Column) -> Column:
+                    begin = F.get(before, at + i)
+                    return F.when(s["start"] >= begin, F.concat(cut(part, begin - base, s["start"] - base), F.lit("["), s["kind"], F.lit("]")))
+
+                return F.array_join(F.filter(F.transform(spans, piece), lambda x: x.isNotNull()), "")
+
+            return let(cut(text, base, F.greatest(base, F.element_at(spans, -1)["start"])), with_part)
 
-    def build(m: Column) -> Column:
-        def piece(s: Column, i: Column) -> Column:
-            begin = F.coalesce(F.get(m, i - 1)["end"], F.lit(0).cast("long"))
-            return F.concat(F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+        pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(m) / width).cast("int") - 1), some)
+        last = F.array_max(F.transform(m, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(text, last, F.greatest(last, F.length(text))))
 
-        tail = F.substring(text, (F.element_at(m, -1)["end"] + 1).cast("int"), F.length(text))
-        return F.concat(F.array_join(F.transform(m, piece), ""), tail)
+    def with_ends(m: Column) -> Column:
+        return let(running(F.transform(m, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b)), lambda before: build(m, before))
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(ordered, none, merge), build))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, with_ends))
 
 
 def joined(spans: Column) -> Column:
