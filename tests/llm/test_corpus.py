@@ -101,6 +101,38 @@ def test_token_counts_of_unbroken_text(spark):
     assert lengths == sum(got.values()) + len(texts)
 
 
+def brute_packing(lengths, capacity):
+    """Gaps of all bins by trying every choice and summing squares of counts of open bins."""
+    gaps = []
+    for n in lengths:
+        def cost(gs):
+            return sum(gs.count(g) ** 2 for g in set(gs) if g)
+        options = [(cost([*gaps[:i], g - n, *gaps[i + 1 :]]), g, i) for i, g in enumerate(gaps) if g >= n]
+        fresh = cost([*gaps, capacity - n])
+        if options and min(options)[0] <= fresh:
+            i = min(options)[2]
+            gaps[i] -= n
+        else:
+            gaps.append(capacity - n)
+    return gaps
+
+
+def test_packing_follows_sums_of_squares():
+    rng = random.Random(13)
+    for capacity in (7, 20):
+        for _ in range(15):
+            lengths = sorted((rng.randrange(1, capacity + 1) for _ in range(60)), reverse=True)
+            bins, offsets, gaps = packing.sum_of_squares(np.array(lengths), capacity)
+            assert sorted(gaps) == sorted(brute_packing(lengths, capacity))
+
+
+def test_packing_uses_few_sequences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(docs, group=512).collect()
+    total, used = sum(r["length"] for r in rows), len({r["sequence_id"] for r in rows})
+    assert used <= 1.01 * total / 4096 + 2
+
+
 def brute_neighbours(rows, q, k=10):
     """(vec_id, distance) of the k nearest rows of q's id and vector, nearest first."""
     i, v = q
@@ -262,6 +294,24 @@ def test_layouts_by_fingerprint(spark):
     assert [tuple(t) for t in chat.canonical_turns(pairs).first()["turns"]] == [("user", "p"), ("assistant", "r")]
     with pytest.raises(ValueError, match="no layout"):
         chat.canonical_turns(pairs.withColumnRenamed("prompt", "what"))
+    named = pairs.withColumns({"turns": F.lit(1), "t": F.lit(2), "turn": F.lit(3)})
+    assert [tuple(t) for t in chat.canonical_turns(named).first()["turns"]] == [("user", "p"), ("assistant", "r")]
+
+
+def test_rows_reach_their_layout_by_fingerprint(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 1, "assistant", "b", 5, 6), (1, 0, "user", "a", 5, 6)], "conv_id bigint, turn int, role string, text string, answer int, turns int")
+    assert chat.layout_of(chat.field_paths(rows.schema)) == chat.ROW_LAYOUT
+    assert [tuple(t) for t in chat.canonical_turns(rows).first()["turns"]] == [("user", "a"), ("assistant", "b")]
+    monkeypatch.delitem(chat.LAYOUTS, chat.ROW_LAYOUT)
+    with pytest.raises(ValueError, match="no layout"):
+        chat.op5_chat_formatting(spark, DATA)
+
+
+def test_one_conversation_of_many_turns_and_long_texts(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"<|end|> {k}") for k in range(3000)] + [(2, 0, "assistant", "[/INST] " * 100_000)]
+    done = chat.format_chats(chat.canonical_turns(spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")))
+    got = {r["conv_id"]: r["loss"] for r in done.select("conv_id", chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert got == {1: "".join(t for c, _, r, t in turns if c == 1 and r == "assistant"), 2: turns[-1][3]}
 
 
 def shingles(text):
@@ -328,15 +378,51 @@ def brute_phrases(text, sample):
     return n
 
 
-def test_cross_parsing_counts_longest_phrases():
-    sample, text = "the cat sat on the mat and the rat", "the rat sat on a cat qq"
-    p = language.CrossParser({"x": sample}, {"x": 1})
-    codes = p.encode(text)
-    state = n = 0
-    for c in codes.tolist():
-        v = int(p.tables[0][state * p.alphabet + c])
-        n, state = n + (v & 3), v >> 2
-    assert n + (state > 0) == brute_phrases(text, sample)
+def brute_language(parser, samples, text):
+    """Language and score by longest matches looked up as substrings."""
+    as_text = lambda t: "".join(map(chr, parser.encode(t).tolist()))
+    need = []
+    for x in parser.languages:
+        known = as_text(samples[x])
+        need.append(brute_phrases(as_text(text), known) * np.log2(len(known) + 2))
+    best, second = np.sort(need)[:2]
+    return parser.languages[int(np.argmin(need))], 1 - best / max(second, 1e-9) if second else 0.0
+
+
+@pytest.mark.parametrize("dense", [language.DENSE, 0])
+def test_predictions_equal_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(language, "DENSE", dense)
+    rng = random.Random(6)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    # the second language has little labelled text, the third very many letters
+    samples = {"a": say("aabbcde", 400), "b": say("abbffgg", 60), "c": say([chr(0x4E00 + k) for k in range(600)], 500)}
+    parser = language.CrossParser(samples, {"a": 3, "b": 2, "c": 1})
+    texts = [say("aabbcdefg", n) for n in (1, 5, 60, 300)] + [samples["b"][40:300] + " zz 日本", samples["c"][:900] * 2, "ab " * 900, samples["a"][:255], samples["a"][:256], samples["a"][7:1300]]
+    names, scores = parser.predict(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        assert (name, pytest.approx(score, abs=1e-9)) == brute_language(parser, samples, t)
+
+
+def test_ties_of_languages():
+    parser = language.CrossParser({"b": "same text", "a": "same text", "c": "same text"}, {"a": 1, "b": 2, "c": 2})
+    assert parser.predict(["some text", "", "123", "\x00x"]) == (["b", "und", "und", "b"], [0.0] * 4)
+
+
+def test_held_out_accuracy(spark):
+    from vectrail.llm.language import op7_language_id
+
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = [r for r in op7_language_id(spark, "/root/testdata/sf0.01").collect() if r["held_out"] and truth[r["doc_id"]]]
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got) and len(got) > 100
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) > 0.98
+
+
+def test_learning_takes_whole_texts_of_bounded_rows(spark):
+    rows = [(i, f"text{i} " * 20, "x") for i in range(400)] + [(1000, "y" * 9000, "y"), (1001, "z" * 9500, "y"), (1002, None, "y"), (1003, "q", None)]
+    samples, weights = language.learn_samples(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=50, sample_chars=1000)
+    texts = {t for _, t, _ in rows}
+    assert set(samples) == {"x", "y"} and samples["y"] == "y" * 9000 or samples["y"] == "z" * 9500
+    assert weights["x"] < 50 and all(p.strip() + " " in texts for p in samples["x"].split("  "))
 
 
 def brute_spans(t):
@@ -393,6 +479,69 @@ def test_terms_far_from_the_entity_are_spans(spark):
     assert len(found) == 4 and terms == {1: ["Zaphod"] * 2, 2: ["Zaphod"], 3: ["Trillian"]}
 
 
+def brute_terms(rows, disclosure, prior):
+    """Flagged (row, term) by counting over all documents."""
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")} for t in rows]
+    entities = [{(k, t[a:b]) for k, a, b in brute_spans(t or "")} for t in rows]
+    n = len(rows)
+    out = set()
+    for e in set().union(*entities):
+        at = [i for i in range(n) if e in entities[i]]
+        own = np.log(n / len(at))
+        for w in set().union(*(words[i] for i in at)):
+            both, all_ = sum(w in words[i] for i in at), sum(w in x for x in words)
+            pmi = np.log((both + prior * len(at) / n) / (all_ + prior)) + own
+            if own > 0 and pmi >= disclosure * own:
+                out |= {(i, w) for i in at if w in words[i]}
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(11)
+    names = [f"name{chr(97 + k)}" for k in range(20)]
+    rows = []
+    for i in range(400):
+        text = [rng.choice("please write call soon mail again today here and there".split()) for _ in range(20)]
+        if i % 3 == 0:
+            k = rng.randrange(20)
+            text += [names[k], f"{names[k]}@mail.example.com"]
+        if rng.random() < 0.1:
+            text.append(rng.choice(names))
+        rng.shuffle(text)
+        rows.append(" ".join(text))
+    want = {(i, w) for i, w in brute_terms(rows, privacy.DISCLOSURE, privacy.PRIOR)}
+    found = privacy.find_spans(spark.createDataFrame([*enumerate(rows)], "doc_id bigint, text string")).collect()
+    clear = lambda r, s: not any(b["start"] < s["end"] and s["start"] < b["end"] for b in r["base"])
+    got = {(r["doc_id"], r["text"][s["start"] : s["end"]].lower()) for r in found for s in r["spans"] if s["kind"] == "term"}
+    # a term that occurs only inside base spans has no span of its own
+    alone = {(r["doc_id"], m[0].lower()) for r in found for m in re.finditer(r"[^\W\d_]{3,}", r["text"]) if clear(r, {"start": m.start(), "end": m.end()})}
+    assert got == want & alone and len(got) > 50
+
+
+def test_very_many_spans_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a@b.co, " * 20_000, 1, 2, 3), (None, "x.y@z.org", 1, 2, 3)], "doc_id bigint, text string, row int, terms int, n int")
+    found = privacy.find_spans(df.withColumn("base", F.lit(4)), ("b", "s"))
+    got = {r["doc_id"]: (len(r["b"]), r["t"], r["row"], r["terms"], r["base"]) for r in found.select("*", privacy.redact(F.col("text"), F.col("s")).alias("t")).collect()}
+    assert got == {1: (20_000, "[EMAIL], " * 20_000, 1, 2, 4), None: (1, "[EMAIL]", 1, 2, 4)}
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        t = "".join(rng.choice("abé日 ") for _ in range(40))
+        rows.append((i, t, sorted((a := rng.randrange(39), rng.randrange(a + 1, 41), rng.choice("xy")) for _ in range(rng.randrange(25)))))
+    df = spark.createDataFrame([(i, t, [(k, a, b) for a, b, k in sp]) for i, t, sp in rows], f"i int, text string, spans {privacy.SPANS}")
+    got = {r["i"]: r["t"] for r in df.select("i", privacy.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    for i, t, sp in rows:
+        out, end = "", 0
+        for a, b, k in sp:
+            if a >= end:
+                out += t[end:a] + f"[{k.upper()}]"
+            end = max(end, b)
+        assert got[i] == (out + t[end:] if sp else t)
+
+
 def test_mix(spark, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text")
     sizes = mixing.sizes_of(docs)
@@ -425,9 +574,36 @@ def test_mix(spark, none):
 
 
 def test_mix_of_odd_rows(spark, docs):
-    taken = mixing.take_copies(docs)
-    assert taken.columns == docs.columns
-    assert taken.groupBy("doc_id").count().filter("count > 6").count() == 0
+    odd = docs.withColumns({"copies": F.lit(7), "size": F.lit(8), "at": F.lit(9)})
+    many = odd.unionByName(odd.filter("doc_id = 4").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("again"))
+    taken = mixing.take_copies(many)
+    assert taken.columns == odd.columns
+    got = {r["doc_id"]: r["n"] for r in taken.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    plan = defaultdict(list)
+    for r in mixing.mix_sizes(mixing.sizes_of(many)).collect():
+        plan[r["doc_id"]].append(r["copies"])
+    # as many rows as the plan has, repeated rows getting nearly equal numbers
+    assert got == {i: sum(c) for i, c in plan.items() if sum(c)} and len(plan[4]) == 5001
+    assert all(max(c) - min(c) <= 1 and max(c) <= 3 for c in plan.values())
+
+
+def test_many_sources_and_levels(spark):
+    rng = random.Random(8)
+    rows = [(i, f"s{rng.randrange(300):03}" if i % 50 else None, rng.choice([0, 1, 5, 400])) for i in range(3000)]
+    total = defaultdict(int)
+    for _, s, n in rows:
+        total[s] += n
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sorted(total, key=lambda s: (s is None, s)))}
+    target, left = {}, set(total)
+    while left:
+        free = sum(total.values()) - sum(target.values())
+        level = free / sum(weight[x] for x in left)
+        over = {s for s in left if level * weight[s] > 3 * total[s]}
+        target |= {s: 3.0 * total[s] if over else level * weight[s] for s in over or left}
+        left -= over or left
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint").withColumn("n_rows", F.lit(1))
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    assert set(got) == set(target) and all(got[s] == pytest.approx(target[s]) for s in target)
 
 
 def test_pivotal_keeps_sums():
@@ -438,20 +614,63 @@ def test_pivotal_keeps_sums():
 
 def test_pipeline(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    # columns with the names of the operators' results, a row twice, and null ids
+    extra = {c: F.lit(7) for c in ("score", "lang_pred", "copies", "base", "spans", "_r", "_size", "at", "row", "terms", "own", "hashed", "label", "rep", "th")}
+    rows = rows.withColumns(extra).withColumn("doc_id", F.when(F.col("doc_id") % 40 == 3, None).otherwise(F.col("doc_id")))
+    rows = rows.unionByName(rows.filter("doc_id = 1 or doc_id is null"))
     docs, kept = rows, None
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA).cache()
-        assert docs.columns == rows.columns
+        assert docs.columns == rows.columns and docs.filter("score <> 7 or copies <> 7 or base <> 7").isEmpty()
         if name == "near_dedup":
-            kept = {r["doc_id"] for r in docs.collect()}
-    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
-    said = {i: t for i, t in texts.items() if any(c.isalpha() for c in t or "")}
-    assert kept == {i for i, (_, c) in brute_components(list(said.items())).items() if i == c}
-    clean = [r for r in docs.collect()]
-    assert {r["doc_id"] for r in clean} <= kept
+            kept = docs.collect()
+    said = [(r["doc_id"], r["text"]) for r in rows.distinct().collect() if any(c.isalpha() for c in r["text"] or "")]
+    label = brute_components([(i, t) for i, (_, t) in enumerate(said)])
+    groups = defaultdict(list)
+    for i, (_, c) in label.items():
+        groups[c].append(said[i])
+    want = [min((d for d, _ in g if d is not None), default=None) for g in groups.values()]
+    key = lambda d: (d is None, d)
+    assert sorted((r["doc_id"] for r in kept), key=key) == sorted(want, key=key)
+    clean = docs.collect()
     assert not any(brute_spans(r["text"]) for r in clean)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert packed.filter("piece = 0").count() == len(clean)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(clean)
+    full = defaultdict(list)
+    for r in packed:
+        full[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in full.values():
+        ends = [0, *(o + n for o, n in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096
+
+
+def test_pipeline_of_no_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        assert docs.count() == 0
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    say = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(5, say("a")), (5, say("b")), (3, say("b") + " tail"), (9, say("a") + " more"), (None, say("b")), (None, say("c")), (None, say("c")), (None, say("c") + " end"), (7, None), (7, ""), (None, None), (8, say("d")), (8, say("d"))]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, th string, keeper int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=repr)
+    n = {t: len(shingles(t)) for _, t in rows}
+    comp = lambda i, t: i if not n[t] else 8 if i == 8 else None if t.startswith("c") else 3
+    assert got == sorted(((i, n[t], comp(i, t), i is not None and comp(i, t) == i) for i, t in rows), key=repr)
+    left = sorted((tuple(r) for r in neardup.keep_one(df).select("doc_id", "text", "th", "keeper").collect()), key=repr)
+    c = [x for x in left if x[1] and x[1].startswith("c")]
+    assert len(c) == 1 and sorted((x for x in left if x not in c), key=repr) == sorted([(3, say("b") + " tail", "x", 1), (7, None, "x", 1), (7, "", "x", 1), (None, None, "x", 1), (8, say("d"), "x", 1)], key=repr)
+
+
+def test_near_boilerplate_in_many_components(spark):
+    """Short documents that share most words, but not enough, fall in the same buckets and stay apart, and a few links among them are found."""
+    template = [f"t{i}" for i in range(24)]
+    rows = [(k, " ".join([*template, f"x{k}", f"y{k}", f"z{k}", f"u{k}", f"v{k}", f"w{k}"])) for k in range(1500)]
+    rows += [(5000 + k, rows[k][1] + " end") for k in range(0, 1500, 100)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
 
 
 def test_digests_are_hex(spark):
