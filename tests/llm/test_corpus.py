@@ -60,6 +60,20 @@ def test_quality_edges(docs, none):
     assert quality.quality_cascade(none).count() == 0
 
 
+def test_rules_go_by_rejections_per_cost(spark):
+    rows = spark.createDataFrame([(i, "word " * 30 + ("!" * 40 if i % 2 else ""), 1, "x", 2) for i in range(200)], "doc_id bigint, text string, words int, row string, kept int")
+    always, never, half = F.lit(True), F.lit(False), F.col("text").contains("!")
+    rules = [quality.Rule("dear", always, F.lit(100)), quality.Rule("never", never, F.lit(1)), quality.Rule("half", half, F.lit(20)), quality.Rule("cheap", half, F.lit(10))]
+    for _ in range(2):
+        assert [(r.name, c, s) for r, c, s in quality.order_rules(rows, rules)] == [("cheap", 10.0, 0.5), ("half", 20.0, 0.5), ("dear", 100.0, 1.0), ("never", 1.0, 0.0)]
+    # base counts of these rows reject nothing but by repeats, so the cascade's first rule is named
+    few = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)) + " !", 7, "r", 8)], rows.schema)
+    got = quality.quality_cascade(few, rules).first()
+    assert (got["failed_rule"], got["words"], got["row"], got["kept"]) == ("cheap", 7, "r", False)
+    costs = {r.name: c for r, c, _ in quality.order_rules(rows, quality.default_rules())}
+    assert costs["capitals"] > costs["exclamations"] > costs["symbols"] and costs["stutter"] > costs["letters"]
+
+
 def library():
     return Tokenizer.from_file(tokens.vocabulary_path())
 

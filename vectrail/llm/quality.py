@@ -1,19 +1,23 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a cheap predicate over a text. Its cost (seconds a document) and
-selectivity (share of documents it rejects) are estimated on a bounded sample;
-the cascade then tests rules in falling order of rejections per second, and
-stops at the first that rejects. The order never changes a verdict, as a
-document is kept exactly when no rule rejects it.
-
-Defined results: a null text has no words, so the base rule rejects it; an
-empty table gives an empty result; repeated rows get one result each; extra
-columns pass through, and columns with the names of results are replaced.
+Each rule is a predicate over a text with an estimate of its cost: how many
+steps it takes for one text, a step being a character that a string function
+passes over (``PATTERN`` steps for a pattern, ``ELEMENT`` for an element of an
+array). One job over a bounded sample sums costs and rejections of all rules;
+the cascade then tests rules in falling order of rejections per cost, and stops
+at the first that rejects. Costs are counted, not timed, so the order is the
+same in every run over the same rows. It never changes a verdict, as a document
+is kept exactly when no rule rejects it. Words, lines and letters are found
+once for each text, for base counts and rules alike.
+
+Defined results: a null text has no words, so the base rule rejects it; very
+long texts are counted whole; an empty table gives an empty result; repeated
+rows get one result each; extra columns pass through, whatever their names, but
+columns with the names of results are replaced.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,46 +32,52 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 
+#: Steps of a pattern for each character, and of a function of arrays for each element.
+PATTERN, ELEMENT = 8, 12
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: true for a text to drop. It may use the columns ``text``, ``n_words`` and ``word_chars``."""
+    """``rejects``: true for a text to drop; ``cost``: steps that telling so takes.
+
+    Both may use the columns text, n_chars, words, n_words, word_chars, n_symbols, n_lines, n_dup_lines and letters.
+    """
 
     name: str
     rejects: Column
+    cost: Column
 
 
 def default_rules() -> list[Rule]:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.col("n_words")
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    text, chars, n, letters = F.col("text"), F.col("n_chars"), F.col("n_words"), F.col("letters")
+    one = F.lit(1)
     capitals = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    spoken = F.length(F.translate(text, "!", ""))
-    words = words_of(F.col("text"))
-    stutter = let(words, lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))))
+    stutter = F.size(F.filter("words", lambda x, i: F.coalesce(x == F.get("words", i - 1), F.lit(False))))
     return [
-        Rule("stutter", stutter > 0.3 * n),
-        Rule("symbols", F.length(text) - F.length(F.translate(text, SYMBOLS, "")) > 0.25 * n),
-        Rule("exclamations", F.length(text) - spoken > 0.5 * n),
-        Rule("capitals", capitals > 0.7 * F.greatest(letters, F.lit(1))),
-        Rule("letters", letters < 0.5 * F.col("word_chars")),
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 25 * n)),
-        Rule("repeated_lines", let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 100 > 40 * F.size(x))),
+        Rule("stutter", stutter > 0.3 * n, ELEMENT * n),
+        Rule("symbols", F.col("n_symbols") > 0.25 * n, one),
+        Rule("exclamations", chars - F.length(F.translate(text, "!", "")) > 0.5 * n, 2 * chars),
+        Rule("capitals", capitals > 0.7 * F.greatest(letters, one), PATTERN * chars),
+        Rule("letters", letters < 0.5 * F.col("word_chars"), one),
+        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 25 * n), one),
+        Rule("repeated_lines", F.col("n_dup_lines") * 100 > 40 * F.col("n_lines"), one),
     ]
 
 
 def repeated_words(words: Column) -> Column:
     """Words covered by windows of WINDOW words that occur twice or more.
 
-    Windows are compared as 64-bit hashes. Hash and place are sorted only in
-    texts that have a repeat; covered words then follow from the gaps between
+    Windows are compared as 64-bit hashes of the hashes of their words. Hash and
+    place are sorted only in texts that have a repeat; covered words then follow from the gaps between
     the sorted places. All of it is O(n log n) in one row.
     """
 
     def hashes(w: Column) -> Column:
         # get() takes one element in constant time; slice() would copy the array for each window
         places = F.sequence(F.lit(0), F.size(w) - WINDOW)
-        return F.transform(places, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))
+        each = F.transform(w, lambda x: F.xxhash64(x))
+        return let(each, lambda h: F.transform(places, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)))))
 
     def covered(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
@@ -91,55 +101,55 @@ def repeated_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= WINDOW, none).otherwise(let(hashes(w), of_hashes))).cast("long")
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+def with_counts(docs: DataFrame) -> DataFrame:
+    """The rows of docs as ``row``, and what base counts and rules need."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = words_of(F.col("text"))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, WORD_GAP, "") != "")
-    both = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
-    return (
-        docs.withColumns(
-            {
-                "_b": both,
-                "word_chars": F.length(F.regexp_replace(text, WORD_GAP, "")).cast("long"),
-                "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-                "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            }
-        )
-        .withColumns({"n_words": F.col("_b.n"), "n_repeat_words": F.col("_b.r")})
-        .drop("_b")
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    read = docs.select(F.struct("*").alias("row"), text.alias("text"), F.length(text).alias("n_chars"), words_of(F.col("text")).alias("words"), line_counts.alias("lines"))
+    return read.select(
+        "row",
+        "text",
+        "n_chars",
+        "words",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.col("n_chars") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.col("lines.n").alias("n_lines"),
+        F.col("lines.dup").alias("n_dup_lines"),
+        F.length(F.regexp_replace("text", r"\P{L}+", "")).cast("long").alias("letters"),
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+
+
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a row, share rejected) in falling order of rejections per second.
+    """(rule, cost of a row, share rejected) in falling order of rejections per cost; ties by name.
 
-    The sample has about ``sample_rows`` rows: its fraction follows from the
-    row count, so no partition sends more than its share and nothing is
-    shuffled. One aggregate row comes back for each rule.
+    The sample has about ``sample_rows`` rows: its fraction follows from the row
+    count, so nothing is shuffled, and one row comes back.
     """
-    total = docs.count()
-    sample = docs.select("text").sample(min(1.0, sample_rows / max(total, 1)), seed)
-    words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), WORD_GAP, "")).alias("word_chars")
-    sample = sample.select("text", words, F.size(words_of(F.col("text"))).alias("n_words")).persist()
-    rows = sample.count()
-    measured = []
+    fraction = min(1.0, sample_rows / max(docs.count(), 1))
+    sums = [F.count(F.lit(1))]
     for rule in rules:
-        began = time.perf_counter()
-        rejected = sample.agg(F.sum(F.coalesce(rule.rejects, F.lit(False)).cast("int"))).first()[0] or 0
-        measured.append((rule, (time.perf_counter() - began) / max(rows, 1), rejected / max(rows, 1)))
-    sample.unpersist()
-    return sorted(measured, key=lambda m: -m[2] / max(m[1], 1e-12))
+        sums += [F.sum(F.coalesce(rule.rejects, F.lit(False)).cast("int")), F.sum(rule.cost)]
+    n, *found = with_counts(docs.select("text").sample(fraction, seed)).agg(*sums).first()
+    n = max(n, 1)
+    measured = [(rule, float(found[2 * k + 1] or 0) / n, (found[2 * k] or 0) / n) for k, rule in enumerate(rules)]
+    return sorted(measured, key=lambda m: (-m[2] / max(m[1], 1e-12), m[0].name))
 
 
 def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """Base counts, ``failed_rule`` (first rule that rejects; null if none) and ``kept``."""
     ordered = order_rules(docs, rules or default_rules(), sample_rows)
+    counted = with_counts(docs).withColumn("n_repeat_words", repeated_words(F.col("words"))).withColumn("base_failed", base_failed())
     cascade = F.when(F.col("base_failed"), F.lit("base"))
     for rule, _, _ in ordered:
         cascade = cascade.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name))
-    return base_counts(docs).withColumn("failed_rule", cascade).withColumn("kept", F.col("failed_rule").isNull())
+    done = counted.withColumn("failed_rule", cascade).withColumn("kept", F.col("failed_rule").isNull())
+    return done.select(*(F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in RESULTS), *RESULTS)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +182,7 @@ b AS (
   SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
          length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS letters,
          length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS capitals,
-         list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l2
+         len(ls) AS n_lines
   FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed
@@ -182,6 +192,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR capitals > 0.7 * greatest(letters, 1)
             OR letters < 0.5 * word_chars
             OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-            OR (len(l2) - len(list_distinct(l2))) * 100 > 40 * len(l2)) AS kept
+            OR n_dup_lines * 100 > 40 * n_lines) AS kept
 FROM b
 """
