@@ -59,6 +59,43 @@ def flip_rate_ranks(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.join(other, "query_id").filter("ra < ra2").agg(F.avg(F.when(F.col("rb") > F.col("rb2"), 1.0).otherwise(0.0)).alias("flip_rate"))
 
 
+def flip_rate_returned(d: DataFrame) -> DataFrame:
+    """Share of pairs of returned ids, in the order returned, whose exact distances don't agree with it: the later one is as near or nearer; D(query_id, rank, exact)."""
+    other = d.select("query_id", F.col("rank").alias("rank2"), F.col("exact").alias("exact2"))
+    both = d.join(other, "query_id").filter("rank < rank2")
+    return both.agg(F.avg(F.when(F.col("exact2") <= F.col("exact"), 1.0).otherwise(0.0)).alias("flip_rate"))
+
+
+def absolute_error(approx: Column, exact: Column) -> Column:
+    return F.abs(approx - exact)
+
+
+def ip_error(approx: Column, exact: Column, query_norm: Column, norm: Column) -> Column:
+    """Error of an inner product over the product of the norms; null where that is zero."""
+    size = query_norm * norm
+    return F.when(size > 0, F.abs(approx - exact) / size)
+
+
+def recall_of_target(results: DataFrame, target: DataFrame, k: int, n: int) -> DataFrame:
+    """query_id, recall: share of the first k of the target list among the first n results."""
+    want = target.filter(F.col("rank") <= k).select("query_id", "vec_id")
+    hits = want.join(results.filter(F.col("rank") <= n).select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("h"))
+    return want.groupBy("query_id").agg(F.count(F.lit(1)).alias("w")).join(hits, "query_id", "left").select("query_id", (F.coalesce("h", F.lit(0)) / F.col("w")).alias("recall"))
+
+
+def with_tail(truth: DataFrame, k: int, ids: list[int]) -> DataFrame:
+    """Ground truth with ids to come at the end of each query's list, at ranks from k + 1 and without a distance."""
+    tail = F.explode(F.array(*(F.struct(F.lit(k + 1 + i).cast("bigint").alias("rank"), F.lit(v).cast("bigint").alias("vec_id")) for i, v in enumerate(ids))))
+    more = truth.select("query_id").distinct().withColumn("t", tail).select("query_id", "t.rank", "t.vec_id", F.lit(None).cast("double").alias("dist"))
+    return truth.select("query_id", "rank", "vec_id", "dist").unionByName(more)
+
+
+def distance_counts(trace: DataFrame, counts: list[str]) -> DataFrame:
+    """Totals and means a query of counters such as distances computed or nodes expanded."""
+    n = F.countDistinct("query_id")
+    return trace.agg(n.alias("queries"), *(F.sum(c).cast("bigint").alias(f"total_{c}") for c in counts), *((F.sum(c) / n).alias(f"mean_{c}") for c in counts))
+
+
 def latency_stats(trace: DataFrame, column: str) -> DataFrame:
     """Mean, linear percentiles and queries a second of latencies in microseconds."""
     p = lambda x: F.percentile(column, F.lit(x))

@@ -15,26 +15,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
+from ..sources.tables import new_path
 
 #: Query rows that may be broadcast; more are joined in blocks of as many.
 MAX_BROADCAST_QUERIES = 4096
 
 
-def pairs(queries: DataFrame, base: DataFrame, limit: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Every query with every base row. The query side is broadcast if it is counted to be small, else dealt into blocks."""
+def pairs(queries: DataFrame, base: DataFrame, limit: int = MAX_BROADCAST_QUERIES, own: bool = True) -> DataFrame:
+    """Every query with every base row, but rows of the query's id if not ``own``. The query side is broadcast if it is counted to be small, else dealt into blocks."""
     n = queries.limit(limit + 1).count()
     if n <= limit:
-        return base.join(F.broadcast(queries))
-    blocks = -(-queries.count() // limit)
-    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    b = base.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    return b.join(q, "_block").drop("_block")
+        both = base.join(F.broadcast(queries))
+    else:
+        blocks = -(-queries.count() // limit)
+        q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        b = base.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        both = b.join(q, "_block").drop("_block")
+    return both if own else both.filter(F.col("query_id") != F.col("vec_id"))
 
 
-def distances(queries: DataFrame, base: DataFrame, metric: str | Callable[[Column, Column], Column] = "l2_sq", limit: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+def distances(queries: DataFrame, base: DataFrame, metric: str | Callable[[Column, Column], Column] = "l2_sq", limit: int = MAX_BROADCAST_QUERIES, own: bool = True) -> DataFrame:
     """Adds ``dist`` to all pairs of queries (query_id, qvec, ...) and base (vec_id, vec, ...); NaN distances go."""
     f = METRICS[metric] if isinstance(metric, str) else metric
-    return pairs(queries, base, limit).withColumn("dist", f(F.col("qvec"), F.col("vec"))).drop("qvec", "vec").filter(~F.isnan("dist"))
+    return pairs(queries, base, limit, own).withColumn("dist", f(F.col("qvec"), F.col("vec"))).drop("qvec", "vec").filter(~F.isnan("dist"))
 
 
 def top_k(d: DataFrame, k: int, by: str = "dist", rank: str = "rank", keys: tuple[str, ...] = ("query_id",), tie: str = "vec_id") -> DataFrame:
@@ -43,31 +46,83 @@ def top_k(d: DataFrame, k: int, by: str = "dist", rank: str = "rank", keys: tupl
     return d.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("bigint"))
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, metric="l2_sq", limit: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    return top_k(distances(queries, base, metric, limit), k)
+def knn(queries: DataFrame, base: DataFrame, k: int, metric="l2_sq", limit: int = MAX_BROADCAST_QUERIES, own: bool = True) -> DataFrame:
+    return top_k(distances(queries, base, metric, limit, own), k)
 
 
-def knn_arrow(queries: DataFrame, base: DataFrame, k: int, limit: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Squared-L2 top-k by matrix products: each batch gives its own top k, so k rows a batch and query are shuffled."""
-    rows = queries.select("query_id", "qvec").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} queries: search them in blocks")
-    shared = base.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)))
+class Best:
+    """The k nearest rows of each of some queries so far."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
-        q2 = (q * q).sum(axis=1)[:, None]
-        for b in batches:
-            if not b.num_rows or not len(qid):
-                continue
-            ids = b.column("vec_id").to_numpy()
-            x = b.column("vec").flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-            d = np.maximum(q2 + (x * x).sum(axis=1)[None] - 2 * q @ x.T, 0)
-            m = min(k + 1, len(ids))
-            at = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(qid), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, at.shape[1])), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(d, at, 1).ravel())], ["query_id", "vec_id", "dist"])
+    def __init__(self, query_ids: np.ndarray, k: int, own: bool = True):
+        self.query_ids, self.k, self.own = query_ids, k, own
+        self.dist, self.ids = np.full((len(query_ids), k), np.inf), np.full((len(query_ids), k), np.iinfo(np.int64).max)
 
-    return top_k(base.select("vec_id", "vec").mapInArrow(run, "query_id bigint, vec_id bigint, dist double"), k)
+    def add(self, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Rows with their distances (query, row); ties go to the smaller id."""
+        dist = np.where(np.isnan(dist), np.inf, dist)
+        if not self.own:
+            dist = np.where(self.query_ids[:, None] == ids[None], np.inf, dist)
+        if len(ids) > self.k:  # all up to the k-th distance, so ties at it aren't lost
+            kth = np.partition(dist, self.k - 1, axis=1)[:, self.k - 1]
+            m = int((dist <= kth[:, None]).sum(axis=1).max())
+            at = np.argpartition(dist, min(m, len(ids)) - 1, axis=1)[:, :m]
+            dist, ids = np.take_along_axis(dist, at, 1), ids[at]
+        both_d = np.hstack([self.dist, dist])
+        both_i = np.hstack([self.ids, np.broadcast_to(ids, dist.shape)])
+        at = np.lexsort((both_i, both_d), axis=1)[:, : self.k]
+        self.dist, self.ids = np.take_along_axis(both_d, at, 1), np.take_along_axis(both_i, at, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(self.dist))
+        return pa.RecordBatch.from_arrays([pa.array(self.query_ids[i]), pa.array(self.ids[i, j]), pa.array(self.dist[i, j])], ["query_id", "vec_id", "dist"])
+
+
+def scan(queries: DataFrame, rows: DataFrame, k: int, score: Callable, prepare: Callable = lambda q: q, limit: int = MAX_BROADCAST_QUERIES, own: bool = True) -> DataFrame:
+    """Top k by numpy: ``score(prepare(query matrix), batch)`` gives distances (query, row). Each partition gives its own top k of each query.
+
+    Queries are broadcast in blocks of at most about ``limit``; with more than one block, each block's answers are written before the next is read.
+    """
+    spark = rows.sparkSession
+    n = queries.count()
+    blocks = max(1, -(-n // limit))
+
+    def block(part: DataFrame) -> DataFrame:
+        got = part.select("query_id", "qvec").limit(2 * limit).collect()
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in got], dtype=np.int64), np.array([r[1] for r in got], dtype=np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, q = shared.value
+            if not len(qid):
+                return
+            q, best = prepare(q), Best(qid, k, own)
+            for b in batches:
+                if b.num_rows:
+                    best.add(b.column("vec_id").to_numpy(), score(q, b))
+            yield best.rows()
+
+        return top_k(rows.mapInArrow(run, "query_id bigint, vec_id bigint, dist double"), k)
+
+    if blocks == 1:
+        return block(queries)
+    path = new_path(spark, "scan")
+    for at in range(blocks):
+        block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    """Lists of one length as a matrix of n rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def l2_by_product(q: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    x = matrix(batch.column("vec"), batch.num_rows).astype(np.float64)
+    return np.maximum(np.square(q).sum(axis=1)[:, None] + np.square(x).sum(axis=1)[None] - 2 * q @ x.T, 0)
+
+
+def knn_arrow(queries: DataFrame, base: DataFrame, k: int, limit: int = MAX_BROADCAST_QUERIES, own: bool = True) -> DataFrame:
+    """Squared-L2 top-k by matrix products."""
+    return scan(queries, base.select("vec_id", "vec"), k, l2_by_product, limit=limit, own=own)
 
 
 def within(d: DataFrame, radius: float, inner: float | None = None) -> DataFrame:
@@ -102,17 +157,49 @@ def beta_biased(d: DataFrame, match: Column, beta: float, k: int) -> DataFrame:
     return top_k(d.withColumn("key", F.when(match, F.col("dist") * beta).otherwise(F.col("dist"))), k, by="key")
 
 
-def adaptive_l(l_size: int, matches: Column, samples: Column, most: int) -> Column:
-    """Search width from the share s of sampled rows that match: L * {1, 2, 2 ** -log10 s}, at most ``most``."""
+def adaptive_l(l_size: int, matches: Column, samples: Column, most: float) -> Column:
+    """Search width from the share s of sampled rows that match: L * m, cut to a whole number, for m of 1, 2 or 2 ** -log10 s between 1 and ``most``; with no match m is ``most``."""
     s = matches / samples
-    grown = F.when(s >= 0.5, F.lit(float(l_size))).when(s >= 0.1, F.lit(2.0 * l_size)).otherwise(F.ceil(l_size * F.pow(F.lit(2.0), -F.log10(s))).cast("double"))
-    return F.when(matches == 0, F.lit(most)).otherwise(F.least(F.greatest(grown, F.lit(1.0)), F.lit(float(most)))).cast("bigint")
+    m = F.when(matches == 0, F.lit(float(most))).when(s >= 0.5, 1.0).when(s >= 0.1, 2.0).otherwise(F.pow(F.lit(2.0), -F.log10(s)))
+    return F.floor(F.lit(float(l_size)) * F.greatest(F.lit(1.0), F.least(m, F.lit(float(most))))).cast("bigint")
 
 
-def coarse_rerank(coarse: DataFrame, exact: DataFrame, c: int, k: int) -> DataFrame:
-    """Top c by coarse distance, then top k of these by exact distance."""
+def coarse_rerank(coarse: DataFrame, queries: DataFrame, base: DataFrame, c: int, k: int, metric: str | Callable[[Column, Column], Column] = "l2_sq") -> DataFrame:
+    """Top c by coarse distance D(query_id, vec_id, dist), then top k of these by the exact distance of their own vectors."""
+    f = METRICS[metric] if isinstance(metric, str) else metric
     kept = top_k(coarse, c, rank="coarse_rank").select("query_id", "vec_id", "coarse_rank")
-    return top_k(kept.join(exact, ["query_id", "vec_id"]), k)
+    exact = kept.join(base.select("vec_id", "vec"), "vec_id").join(queries.select("query_id", "qvec"), "query_id").withColumn("dist", f(F.col("qvec"), F.col("vec"))).drop("qvec", "vec")
+    return top_k(exact, k)
+
+
+def range_two_phase(candidates: DataFrame, radius: float, l_size: int, slack: float = 1.0, inner: float | None = None, most: int | None = None) -> DataFrame:
+    """Range search over candidates D(query_id, vec_id, dist) in two phases.
+
+    The first phase looks at the ``l_size`` nearest of a query. Only if all of
+    these lie within the radius, the second goes on, to all within radius *
+    slack. What is within (inner, radius] is returned, at most ``most`` nearest.
+    """
+    if radius < 0 or slack < 1 or l_size < 1 or (inner is not None and inner > radius) or (most is not None and most < 1):
+        raise ValueError("radius >= 0, slack >= 1, l_size >= 1, inner <= radius and most >= 1 are needed")
+    w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
+    numbered = candidates.withColumn("rank", F.row_number().over(w))
+    full = numbered.filter((F.col("rank") == l_size) & (F.col("dist") <= radius)).select("query_id", F.lit(True).alias("more"))
+    seen = numbered.join(full, "query_id", "left").filter((F.col("rank") <= l_size) | (F.col("more") & (F.col("dist") <= radius * slack)))
+    kept = within(seen.drop("more", "rank"), radius, inner)
+    return top_k(kept, most) if most is not None else kept
+
+
+def early_stop(d: DataFrame, k: int, patience: int) -> DataFrame:
+    """Top k of D(query_id, vec_id, dist, hop) when a query stops after ``patience`` hops in a row that gave nothing nearer than its k-th so far."""
+    hops = d.groupBy("query_id", "hop").agg(F.array_sort(F.collect_list("dist")).alias("near"))
+    before = Window.partitionBy("query_id").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = hops.withColumn("seen", F.array_sort(F.flatten(F.collect_list(F.slice("near", 1, k)).over(before))))
+    better = so_far.withColumn("better", F.coalesce(F.col("near")[0] < F.get("seen", F.lit(k - 1)), F.lit(True)))
+    # how many hops since one that helped
+    upto = Window.partitionBy("query_id").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)
+    stale = better.withColumn("stale", F.col("hop") - F.max(F.when(F.col("better"), F.col("hop"))).over(upto))
+    stop = stale.filter(F.col("stale") >= patience).groupBy("query_id").agg(F.min("hop").alias("stop"))
+    return top_k(d.join(stop, "query_id", "left").filter(F.col("stop").isNull() | (F.col("hop") <= F.col("stop"))).drop("stop"), k)
 
 
 def multi_vector(tokens_d: DataFrame, how: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators import filters as J
 from ..operators import metrics as M
 from ..operators import reports as R
 from ..operators import search as S
 from ..sources import vectors as files
-from .search_queries import K, all_distances, base, dist_sql, embeddings, queries, top_sql
+from .search_queries import IP, K, all_distances, base, dist_sql, embeddings, queries, top_sql
 
 QUERIES, SQL = {}, {}
 
@@ -165,7 +166,7 @@ def flip_rate_ranks(spark, d):
 
 
 @query(f"""WITH {dist_sql(where="vec_id % 5 = 0")}, t AS ({top_sql()}), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 1), vec_id) AS rb FROM d QUALIFY rb <= 10)
-SELECT count(*) AS hits, count(*) / 100.0 AS recall FROM f JOIN t USING (query_id, vec_id)""")
+SELECT count(*) AS hits, count(*) / (10.0 * (SELECT count(DISTINCT query_id) FROM t)) AS recall FROM f JOIN t USING (query_id, vec_id)""")
 def fixed_candidate_recall(spark, d):
     c = all_distances(spark, d).filter("vec_id % 5 = 0")
     return M.recall(S.top_k(c.withColumn("dist", F.round("dist", 1)), K), S.top_k(c, K), K)
@@ -238,14 +239,14 @@ def pareto_frontier(spark, d):
 
 def _interpolation(best: bool) -> str:
     last = "AND recall >= target - 1e-9" if best else ""
-    return f"""WITH {RUNS}, b AS (SELECT method, recall, max(qps) AS qps FROM runs WHERE l_orderkey % 11 = 0 GROUP BY ALL), l AS (SELECT *, lead(recall) OVER w AS r2, lead(qps) OVER w AS q2, row_number() OVER w = 1 AS first FROM b WINDOW w AS (PARTITION BY method ORDER BY recall, qps)),
+    return f"""WITH {RUNS}, b AS (SELECT method, recall, max(qps) AS qps FROM runs GROUP BY ALL), l AS (SELECT *, lead(recall) OVER w AS r2, lead(qps) OVER w AS q2, row_number() OVER w = 1 AS first FROM b WINDOW w AS (PARTITION BY method ORDER BY recall, qps)),
 x AS (SELECT *, recall < target AND r2 >= target AS inside FROM l, (SELECT unnest([0.01, 0.333, 0.905, 1.0, 1.5]::DOUBLE[]) AS target))
 SELECT method, target, round(CASE WHEN inside THEN qps + (q2 - qps) * (target - recall) / (r2 - recall) ELSE qps END, 6) AS qps, CASE WHEN inside THEN 'linear' ELSE '{'best_available' if best else 'clamped'}' END AS interp
 FROM x WHERE (first AND recall >= target) OR inside OR (r2 IS NULL AND recall < target {last})"""
 
 
 def _interpolated(spark, d, best):
-    b = runs(spark, d).filter("l_orderkey % 11 = 0").groupBy("method", "recall").agg(F.max("qps").alias("qps"))
+    b = runs(spark, d).groupBy("method", "recall").agg(F.max("qps").alias("qps"))
     return R.interpolate(b, "recall", "qps", ["method"], [0.01, 0.333, 0.905, 1.0, 1.5], best).withColumn("qps", F.round("qps", 6))
 
 
@@ -292,19 +293,51 @@ def parse_run_log(spark, d):
     return got.select(F.col("type").alias("event_type"), "id", "value")
 
 
-@query("SELECT user_id, CAST(sum(value) AS DOUBLE) IS NOT NULL AS has_value, count(*) AS requests, count(DISTINCT event_type) AS stages, CAST(count_if(value > 50) AS BIGINT) AS survivors FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS requests, count(DISTINCT event_type) AS stages, CAST(count_if(value > 50) AS BIGINT) AS survivors FROM events GROUP BY user_id")
 def io_stage_sums(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.sum("value").isNotNull().alias("has_value"), F.count(F.lit(1)).alias("requests"), F.countDistinct("event_type").alias("stages"), F.count_if(F.col("value") > 50).alias("survivors"))
+    return events(spark, d).groupBy("user_id").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"), F.count(F.lit(1)).alias("requests"), F.countDistinct("event_type").alias("stages"), F.count_if(F.col("value") > 50).alias("survivors"))
+
+
+@query("SELECT count(DISTINCT user_id) AS queries, CAST(sum(event_id) AS BIGINT) AS total_event_id, CAST(sum(k) AS BIGINT) AS total_k, round(sum(event_id) / count(DISTINCT user_id), 6) AS mean_event_id, round(sum(k) / count(DISTINCT user_id), 6) AS mean_k FROM (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def distance_counts(spark, d):
+    trace = events(spark, d).select(F.col("user_id").alias("query_id"), "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    s = M.distance_counts(trace, ["event_id", "k"])
+    return s.withColumns({c: F.round(c, 6) for c in s.columns if c.startswith("mean_")})
+
+
+@query(f"WITH {dist_sql()}, t AS ({top_sql()}), r AS (SELECT query_id, dist AS exact, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 1), vec_id) AS rank FROM t) SELECT round(avg(CASE WHEN y.exact <= x.exact THEN 1.0 ELSE 0.0 END), 9) AS flip_rate FROM r x JOIN r y ON x.query_id = y.query_id AND x.rank < y.rank")
+def flip_rate_returned(spark, d):
+    rough = truth(spark, d).withColumnRenamed("dist", "exact").drop("rank").withColumn("dist", F.round("exact", 1))
+    return M.flip_rate_returned(S.top_k(rough, K)).select(F.round("flip_rate", 9).alias("flip_rate"))
+
+
+@query(f"WITH {TR} SELECT round(avg(abs(round(dist, 2) - dist)), 9) AS mean_error, round(quantile_disc(abs(round(dist, 2) - dist), 0.95), 9) AS p95_error FROM t")
+def absolute_error(spark, d):
+    return M.error_summary(_approx(spark, d), M.absolute_error(F.col("approx"), F.col("dist"))).select(F.round("mean_error", 9).alias("mean_error"), F.round("p95_error", 9).alias("p95_error"))
+
+
+@query(f"WITH {dist_sql(IP)}, t AS ({top_sql()}), n AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT round(avg(abs(round(dist, 2) - dist) / (a.n * b.n)), 9) AS mean_error, round(quantile_disc(abs(round(dist, 2) - dist) / (a.n * b.n), 0.95), 9) AS p95_error FROM t JOIN n a ON a.vec_id = query_id JOIN n b ON b.vec_id = t.vec_id")
+def ip_error(spark, d):
+    t = S.top_k(S.distances(queries(spark, d), base(spark, d), lambda q, v: -V.ip_score(q, v), own=False), K)
+    norm = lambda by, name: embeddings(spark, d).select(F.col("vec_id").alias(by), V.l2_norm(F.col("embedding")).alias(name))
+    rows = t.join(norm("query_id", "qn"), "query_id").join(norm("vec_id", "n"), "vec_id")
+    return M.error_summary(rows, M.ip_error(F.round("dist", 2), F.col("dist"), F.col("qn"), F.col("n"))).select(F.round("mean_error", 9).alias("mean_error"), F.round("p95_error", 9).alias("p95_error"))
+
+
+@query(f"WITH {dist_sql()}, t AS ({top_sql()}), r AS ({top_sql(20, '(SELECT query_id, vec_id, round(dist, 1) AS dist FROM d)')}), h AS (SELECT t.query_id, count(*) AS h FROM t JOIN r ON r.query_id = t.query_id AND r.vec_id = t.vec_id AND t.rank <= 5 GROUP BY 1) SELECT DISTINCT t.query_id, coalesce(h, 0) / 5.0 AS recall FROM t LEFT JOIN h USING (query_id)")
+def recall_of_target(spark, d):
+    rough = S.top_k(all_distances(spark, d).withColumn("dist", F.round("dist", 1)), 20)
+    return M.recall_of_target(rough, truth(spark, d), 5, 20)
 
 
 @query(f"""WITH {dist_sql()}, t AS ({top_sql()}), h AS ({top_sql(20, '(SELECT * FROM d WHERE vec_id % 2 = 0)')}),
-u AS (SELECT query_id, vec_id, 0 AS p, rank FROM t UNION ALL SELECT query_id, vec_id, 1, rank FROM h UNION ALL SELECT query_id, vec_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) FROM d WHERE vec_id < 40),
+u AS (SELECT query_id, vec_id, 0 AS p, rank FROM t UNION ALL SELECT query_id, vec_id, 1, rank FROM h UNION ALL SELECT query_id, vec_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) FROM d),
 f AS (SELECT query_id, vec_id, p, rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY p, rank) = 1)
 SELECT query_id, vec_id, cand_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, rank) AS cand_rank FROM f) WHERE cand_rank <= 25""")
 def candidate_construction(spark, d):
     dist = all_distances(spark, d)
     part = lambda df, p: df.select("query_id", "vec_id", F.lit(p).alias("p"), "rank")
-    fill = S.top_k(dist.filter("vec_id < 40"), 1000, by="vec_id")
+    fill = S.top_k(dist, 1 << 30, by="vec_id")
     u = part(S.top_k(dist, K), 0).unionByName(part(S.top_k(dist.filter("vec_id % 2 = 0"), 20), 1)).unionByName(part(fill, 2))
     kept = R.dedup_first(u, ["query_id", "vec_id"], ["p", "rank"]).withColumn("order", F.col("p") * 1_000_000 + F.col("rank"))
     return S.top_k(kept, 25, by="order", rank="cand_rank").select("query_id", "vec_id", "cand_rank")

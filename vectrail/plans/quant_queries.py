@@ -12,8 +12,9 @@ from ..operators import search as S
 from ..quant import closed_form as C
 from ..quant import product as P
 from ..quant import rotated as X
+from ..sources import vectors as files
 from ..streaming import log as L
-from .search_queries import K, L2, N_QUERIES, all_distances, base, dist_sql, embeddings, out, queries, top_sql
+from .search_queries import IS_QUERY, K, L2, all_distances, base, dist_sql, embeddings, out, queries, top_sql
 
 QUERIES, SQL = {}, {}
 
@@ -32,11 +33,6 @@ def vectors(spark, d):
     return embeddings(spark, d).select("vec_id", F.col("embedding").alias("vec"), "label")
 
 
-def query_list(spark, d) -> list[tuple[int, list[float]]]:
-    """The few query vectors, on the driver."""
-    return [(r[0], list(r[1])) for r in queries(spark, d).orderBy("query_id").collect()]
-
-
 def codes_text(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
@@ -57,7 +53,7 @@ _HAM = "CAST(list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN
 def hamming_knn(spark, d):
     q = queries(spark, d).withColumn("qvec", B.sign_words(F.col("qvec"), 64))
     b = base(spark, d).withColumn("vec", B.sign_words(F.col("vec"), 64))
-    near = S.top_k(S.pairs(q, b).withColumn("dist", V.hamming(F.col("qvec"), F.col("vec"))).withColumn("sign_dot", V.sign_dot(F.col("qvec"), F.col("vec"), 64)), K)
+    near = S.top_k(S.pairs(q, b, own=False).withColumn("dist", V.hamming(F.col("qvec"), F.col("vec"))).withColumn("sign_dot", V.sign_dot(F.col("qvec"), F.col("vec"), 64)), K)
     return near.select("query_id", "rank", "vec_id", "dist", "sign_dot")
 
 
@@ -71,12 +67,12 @@ for _bits in (1, 4, 8):
     QUERIES[f"minmax_{_bits}bit"] = lambda spark, d, b=_bits: vectors(spark, d).select("vec_id", C.minmax(F.col("vec"), b).alias("q")).select("vec_id", codes_text(F.col("q.codes")).alias("codes"))
     SQL[f"minmax_{_bits}bit"] = f"WITH {mm_sql(_bits)} SELECT vec_id, {_JOIN.format('codes')} AS codes FROM m"
 
-_MM = f"{mm_sql(4)}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {N_QUERIES}), b AS (SELECT vec_id, list_transform(codes, lambda c: low + step * c) AS v FROM m WHERE vec_id >= {N_QUERIES}), d AS (SELECT query_id, vec_id, {L2} AS dist FROM q, b)"
+_MM = f"{mm_sql(4)}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {IS_QUERY}), b AS (SELECT vec_id, list_transform(codes, lambda c: low + step * c) AS v FROM m), d AS (SELECT query_id, vec_id, {L2} AS dist FROM q, b WHERE query_id <> vec_id)"
 
 
 def minmax_distances(spark, d, bits=4):
     b = base(spark, d).withColumn("q", C.minmax(F.col("vec"), bits)).withColumn("vec", C.decode(F.col("q"))).drop("q")
-    return S.distances(queries(spark, d), b)
+    return S.distances(queries(spark, d), b, own=False)
 
 
 @query(f"WITH {_MM}, t AS ({top_sql()}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t")
@@ -88,15 +84,15 @@ def minmax_knn(spark, d):
 x AS (SELECT c.query_id, c.vec_id, list_sum(list_transform(generate_series(1, 64), lambda i: (q.v[i] - e.v[i]) * (q.v[i] - e.v[i]))) AS dist FROM c JOIN q USING (query_id) JOIN e ON e.vec_id = c.vec_id), t AS ({top_sql(source='x')})
 SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t""")
 def coarse_rerank_knn(spark, d):
-    return out(S.coarse_rerank(minmax_distances(spark, d), all_distances(spark, d).select("query_id", "vec_id", "dist"), 30, K))
+    return out(S.coarse_rerank(minmax_distances(spark, d), queries(spark, d), base(spark, d), 30, K))
 
 
-_EXACT = f"xb AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id >= {N_QUERIES}), xd AS (SELECT query_id, vec_id, {L2} AS dist FROM q, xb AS b)"
+_EXACT = f"xb AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), xd AS (SELECT query_id, vec_id, {L2} AS dist FROM q, xb AS b WHERE query_id <> vec_id)"
 
 
-@query(f"WITH {_MM}, c AS ({top_sql(30)}), {_EXACT}, t AS ({top_sql(source='xd')}) SELECT count(*) AS hits, count(*) / 100.0 AS recall FROM c JOIN t USING (query_id, vec_id)")
+@query(f"WITH {_MM}, c AS ({top_sql(30)}), {_EXACT}, t AS ({top_sql(source='xd')}) SELECT count(*) AS hits, count(*) / (10.0 * (SELECT count(DISTINCT query_id) FROM t)) AS recall FROM c JOIN t USING (query_id, vec_id)")
 def coarse_rerank_recall(spark, d):
-    return M.recall(S.coarse_rerank(minmax_distances(spark, d), all_distances(spark, d).select("query_id", "vec_id", "dist"), 30, K), S.top_k(all_distances(spark, d), K), K)
+    return M.recall(S.coarse_rerank(minmax_distances(spark, d), queries(spark, d), base(spark, d), 30, K), S.knn_arrow(queries(spark, d), base(spark, d), K, own=False), K)
 
 
 _SQ = "x AS (SELECT unnest(generate_series(0, 63)) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings), s AS (SELECT dim, avg(x) AS m, var_pop(x) AS s2 FROM x GROUP BY dim), p AS (SELECT sqrt(max(s2)) * 2.0 AS p FROM s)"
@@ -116,11 +112,11 @@ def sq_codes(spark, d):
     return vectors(spark, d).select("vec_id", codes_text(sq.codes(F.col("vec"))).alias("codes"))
 
 
-@query(f"WITH {_SQC}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {N_QUERIES}), b AS (SELECT vec_id, list_transform(generate_series(1, 64), lambda i: sh[i] + codes[i] * scale / 15) AS v FROM c WHERE vec_id >= {N_QUERIES}), d AS (SELECT query_id, vec_id, {L2} AS dist FROM q, b), t AS ({top_sql()}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t")
+@query(f"WITH {_SQC}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {IS_QUERY}), b AS (SELECT vec_id, list_transform(generate_series(1, 64), lambda i: sh[i] + codes[i] * scale / 15) AS v FROM c), d AS (SELECT query_id, vec_id, {L2} AS dist FROM q, b WHERE query_id <> vec_id), t AS ({top_sql()}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t")
 def sq_knn(spark, d):
     sq = C.ScalarQuantizer.train(vectors(spark, d), 4)
     b = base(spark, d).withColumn("vec", sq.decode(sq.codes(F.col("vec"))))
-    return out(S.top_k(S.distances(queries(spark, d), b), K))
+    return out(S.top_k(S.distances(queries(spark, d), b, own=False), K))
 
 
 def codec_sql(bits: int) -> str:
@@ -128,15 +124,15 @@ def codec_sql(bits: int) -> str:
         scale, code = "list_sum(list_transform(v, lambda x: abs(x))) / len(v)", "CASE WHEN x > 0 THEN 1 ELSE -1 END"
     else:
         scale, code = f"list_max(list_transform(v, lambda x: abs(x))) / {float(2 ** (bits - 1) - 1)}", "CAST(round_even(x / scale, 0) AS BIGINT)"
-    return f"""WITH qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, {scale.replace('(v', '(embedding::DOUBLE[]')} AS scale FROM embeddings WHERE vec_id < {N_QUERIES}),
-q AS (SELECT query_id, scale, list_transform(v, lambda x: {code}) AS v FROM qs), b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE -1 END) AS v FROM embeddings WHERE vec_id >= {N_QUERIES}),
-d AS (SELECT query_id, vec_id, -(scale * CAST(list_sum(list_transform(generate_series(1, 64), lambda i: q.v[i] * b.v[i])) AS BIGINT)) AS dist FROM q, b), t AS ({top_sql()}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t"""
+    return f"""WITH qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, {scale.replace('(v', '(embedding::DOUBLE[]')} AS scale FROM embeddings WHERE {IS_QUERY}),
+q AS (SELECT query_id, scale, list_transform(v, lambda x: {code}) AS v FROM qs), b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE -1 END) AS v FROM embeddings),
+d AS (SELECT query_id, vec_id, -(scale * CAST(list_sum(list_transform(generate_series(1, 64), lambda i: q.v[i] * b.v[i])) AS BIGINT)) AS dist FROM q, b WHERE query_id <> vec_id), t AS ({top_sql()}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t"""
 
 
 def codec_scan(spark, d, bits):
     q = queries(spark, d).withColumn("qvec", C.query_codec(F.col("qvec"), bits))
     signs = F.transform("vec", lambda x: F.when(x > 0, 1).otherwise(-1).cast("bigint"))
-    return out(S.top_k(S.pairs(q, base(spark, d).withColumn("vec", signs)).withColumn("dist", -C.signs_dot(F.col("qvec"), F.col("vec"))), K))
+    return out(S.top_k(S.pairs(q, base(spark, d).withColumn("vec", signs), own=False).withColumn("dist", -C.signs_dot(F.col("qvec"), F.col("vec"))), K))
 
 
 for _name, _bits in (("b1_query_scan", 1), ("int4_query_scan", 4), ("int8_query_scan", 8)):
@@ -149,7 +145,7 @@ _SIGNED = "list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN b
 @query(f"WITH {dist_sql('-(' + _SIGNED + ')')}, t AS ({top_sql()}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t")
 def full_query_scan(spark, d):
     signs = F.transform("vec", lambda x: F.when(x > 0, 1.0).otherwise(-1.0))
-    return out(S.top_k(S.distances(queries(spark, d), base(spark, d).withColumn("vec", signs), "ip_score"), K))
+    return out(S.top_k(S.distances(queries(spark, d), base(spark, d).withColumn("vec", signs), "ip_score", own=False), K))
 
 
 @query(f"WITH {mm_sql(4)} SELECT vec_id, list_aggregate(list_transform(generate_series(1, 63, 2), lambda i: lpad(printf('%X', codes[i] + 16 * codes[i + 1]), 2, '0')), 'string_agg', '') AS packed FROM m")
@@ -180,9 +176,9 @@ def mean_vector(spark, d) -> list[float]:
     return list(M.centroid(vectors(spark, d)).first()["qvec"])
 
 
-def rotated_scores(spark, d, bits=8):
+def rotated(spark, d, bits=8):
     c = mean_vector(spark, d)
-    return X.score_table(X.encode_table(base(spark, d), c, bits=bits), query_list(spark, d), c)
+    return X.encode_table(base(spark, d), c, bits=bits), c
 
 
 @query()
@@ -192,23 +188,30 @@ def rotated_codes(spark, d):
 
 @query()
 def rotated_knn(spark, d):
-    return out(S.top_k(rotated_scores(spark, d, 0).withColumn("dist", F.col("long")), K))
+    codes, c = rotated(spark, d, 0)
+    return out(X.search(codes, queries(spark, d), c, K, own=False))
 
 
 @query()
 def rotated_gate(spark, d):
-    return out(S.top_k(X.gated(rotated_scores(spark, d, 0), K).withColumn("dist", F.col("long")), K))
+    codes, c = rotated(spark, d, 0)
+    return out(X.search(codes, queries(spark, d), c, K, gated=True, own=False))
 
 
 @query()
 def residual_rerank(spark, d):
-    s = rotated_scores(spark, d)
-    return out(S.coarse_rerank(s.withColumn("dist", F.col("long")), s.select("query_id", "vec_id", F.col("corrected").alias("dist")), 30, K))
+    """The 30 nearest by codes get distances from codes and residuals; the 10 nearest of these are returned."""
+    codes, c = rotated(spark, d)
+    near = X.search(codes, queries(spark, d), c, 30, own=False).select("query_id", "vec_id")
+    return out(S.top_k(X.rescore(near, codes, queries(spark, d), c), K))
 
 
 @query()
 def sign_interval(spark, d):
-    s = rotated_scores(spark, d, 0)
+    """Estimate and bounds from signs of the 30 nearest by signs."""
+    codes, c = rotated(spark, d, 0)
+    s = X.search(codes, queries(spark, d), c, 30, by="short", own=False).select("query_id", "vec_id")
+    s = X.rescore(s, codes, queries(spark, d), c)
     return s.select("query_id", "vec_id", F.round("short", 6).alias("estimate"), F.round("short_low", 6).alias("low"), F.round("short_high", 6).alias("high"))
 
 
@@ -219,68 +222,101 @@ def pq_codes(spark, d):
 
 @query()
 def pq_adc_knn(spark, d):
-    pq = P.ProductQuantizer.train(base(spark, d), 16, 16)
-    return out(pq.search(pq.encode(base(spark, d)), query_list(spark, d), K))
+    pq = P.ProductQuantizer.train(base(spark, d), 32, 256)
+    return out(pq.search(pq.encode(base(spark, d)), queries(spark, d), K, own=False))
 
 
 @query()
 def ivf_knn(spark, d):
     centres = P.kmeans(P.sample_matrix(base(spark, d)), 16)
-    probes = P.probe_lists(query_list(spark, d), centres, 8, spark).join(queries(spark, d), "query_id")
-    rows = P.lists_of(base(spark, d).select("vec_id", "vec"), centres).join(probes, "list")
+    probes = P.probe_lists(queries(spark, d), centres, 12)
+    rows = P.lists_of(base(spark, d).select("vec_id", "vec"), centres).join(probes, "list").filter("query_id <> vec_id")
     return out(S.top_k(rows.withColumn("dist", V.l2_sq(F.col("qvec"), F.col("vec"))), K))
 
 
 # ---- graphs
 
-GRAPH = f"""g AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_sum(list_transform(generate_series(1, 64), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id < 200 AND b.vec_id < 200),
+GRAPH = f"""g AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_sum(list_transform(generate_series(1, 64), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
 e AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS pos FROM g QUALIFY pos < 5)"""
 
 
-def small_graph(spark, d):
-    """The exact graph of a part: the first 200 vectors."""
-    return G.knn_graph(vectors(spark, d).filter("vec_id < 200"), 5)
+def graph(spark, d):
+    """The exact graph of all vectors."""
+    return G.knn_graph(vectors(spark, d), 5)
 
 
 @query(f"WITH {GRAPH} SELECT src, pos, dst, round(dist, 6) AS dist FROM e")
 def knn_graph(spark, d):
-    return small_graph(spark, d).withColumn("dist", F.round("dist", 6))
+    return graph(spark, d).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"WITH {GRAPH}, c AS (SELECT src, count(*) AS d FROM e GROUP BY src) SELECT max(d) AS max_degree, avg(d) AS mean_degree, CAST(sum(d) AS BIGINT) AS edges FROM c")
 def degree_stats(spark, d):
-    return G.degree_stats(small_graph(spark, d))
+    return G.degree_stats(graph(spark, d))
 
 
 @query(f"WITH {GRAPH} SELECT DISTINCT dst AS node FROM e WHERE src IN (0, 1, 2) AND dst NOT IN (0, 1, 2)")
 def one_hop_expand(spark, d):
     front = vectors(spark, d).filter("vec_id < 3").select(F.col("vec_id").alias("node"))
-    return G.one_hop(front, small_graph(spark, d), front)
+    return G.one_hop(front, graph(spark, d), front)
 
 
 @query(f"WITH RECURSIVE {GRAPH}, r AS (SELECT CAST(0 AS BIGINT) AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
 def reachable_nodes(spark, d):
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/vectrail"))
     start = vectors(spark, d).filter("vec_id = 0").select(F.col("vec_id").alias("node"))
-    return G.reachable(start, small_graph(spark, d).select("src", "dst"))
+    return G.reachable(start, graph(spark, d).select("src", "dst"))
 
 
 @query()
 def robust_prune(spark, d):
     e = vectors(spark, d)
-    return G.pruned(e, small_graph(spark, d).select("src", "dst"), 3, 1.2)
+    return G.pruned(e, graph(spark, d).select("src", "dst"), 3, 1.2)
 
 
 @query()
 def neighbour_heuristic(spark, d):
-    return G.pruned(vectors(spark, d), small_graph(spark, d).select("src", "dst"), 5, 1.0)
+    return G.pruned(vectors(spark, d), graph(spark, d).select("src", "dst"), 5, 1.0)
+
+
+def parts(spark, d):
+    """All vectors in parts of a bounded size."""
+    b = base(spark, d)
+    n = max(4, -(-b.count() // 50_000))
+    return b.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
 
 
 @query()
 def graph_beam_search(spark, d):
-    b = base(spark, d).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(4)).cast("int"))
-    return out(G.search(b, G.build(b, "part"), "part", query_list(spark, d), K, 64))
+    b = parts(spark, d)
+    return out(G.search(b, G.build(b, "part"), "part", queries(spark, d), K, 64, own=False))
+
+
+@query()
+def graph_gated_search(spark, d):
+    """Beam search that expands no neighbour whose lower bound from signs is beyond the pool's worst, and stops when four hops in a row bring nothing nearer."""
+    b = parts(spark, d)
+    return out(G.search(b, G.build(b, "part"), "part", queries(spark, d), K, 64, own=False, gate=True, patience=24))
+
+
+@query()
+def graph_after_changes(spark, d):
+    """A graph of two thirds of the vectors, the rest inserted, every seventh deleted with its edges repaired, then searched."""
+    b = parts(spark, d)
+    first = G.build(b.filter("vec_id % 3 <> 0"), "part")
+    grown = G.insert(b, first, "part")
+    alive = b.filter("vec_id % 7 <> 0 or vec_id % 20 = 0")
+    return out(G.search(alive, G.delete(b, grown, "part", alive.select("vec_id")), "part", queries(spark, d), K, 64, own=False))
+
+
+@query(f"WITH RECURSIVE {GRAPH}, r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS hop UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 6), m AS (SELECT node, min(hop) AS hop FROM r GROUP BY node) SELECT node, CAST(hop AS BIGINT) AS hop, row_number() OVER (ORDER BY hop, node) - 1 AS place FROM m WHERE hop <= 6")
+def bfs_order(spark, d):
+    start = vectors(spark, d).filter("vec_id = 0").select(F.col("vec_id").alias("node"))
+    return G.bfs_order(start, graph(spark, d).select("src", "dst"), 6)
+
+
+@query(f"WITH {GRAPH}, c AS (SELECT src AS node, count(*) AS n, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY pos) AS ids FROM e GROUP BY src) SELECT node, sha256(ids) AS checksum FROM c")
+def adjacency_checksums(spark, d):
+    return files.adjacency_checksum(graph(spark, d)).withColumnRenamed("src", "node")
 
 
 @query()
@@ -310,11 +346,11 @@ def asof_active_set(spark, d):
     return L.active_at(mutations(spark, d), 5)
 
 
-@query(f"WITH {LOG}, {active_sql(4)}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {N_QUERIES}), b AS (SELECT a.id AS vec_id, e.embedding::DOUBLE[] AS v FROM a JOIN embeddings e ON e.vec_id = a.o WHERE a.op <> 'delete'), d AS (SELECT query_id, vec_id, {L2} AS dist FROM q, b), t AS ({top_sql()}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t")
+@query(f"WITH {LOG}, {active_sql(4)}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {IS_QUERY}), b AS (SELECT a.id AS vec_id, e.embedding::DOUBLE[] AS v FROM a JOIN embeddings e ON e.vec_id = a.o WHERE a.op <> 'delete'), d AS (SELECT query_id, vec_id, {L2} AS dist FROM q, b WHERE query_id <> vec_id), t AS ({top_sql()}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t")
 def streaming_ground_truth(spark, d):
     alive = L.active_at(mutations(spark, d), 4)
     b = alive.join(vectors(spark, d).select(F.col("vec_id").alias("offset"), "vec"), "offset").select(F.col("id").alias("vec_id"), "vec")
-    return out(S.knn(queries(spark, d), b, K))
+    return out(S.knn(queries(spark, d), b, K, own=False))
 
 
 @query("SELECT CAST(4 AS INTEGER) AS stage, 'delete' AS op, vec_id AS id, 'delete of an absent id' AS error FROM embeddings WHERE vec_id % 35 = 0 UNION ALL SELECT 1, 'insert', vec_id, 'insert of a present id' FROM embeddings WHERE vec_id % 35 = 1")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.search import top_k
+from ..operators.search import matrix, scan
 
 SAMPLE = 8192
 
@@ -63,20 +63,18 @@ class ProductQuantizer:
 
         return vectors.select("vec_id", "vec").mapInArrow(run, "vec_id bigint, codes array<int>")
 
-    def search(self, encoded: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-        """Top k by the sum of table entries (asymmetric distance)."""
-        parts = [(qid, [np.square(c - p).sum(axis=1) for p, c in zip(np.split(np.asarray(q, dtype=np.float64), len(self.books)), self.books, strict=True)]) for qid, q in queries]
-        shared = encoded.sparkSession.sparkContext.broadcast(parts)
+    def search(self, encoded: DataFrame, queries: DataFrame, k: int, own: bool = True) -> DataFrame:
+        """Top k by the sum of table entries (asymmetric distance); a task gives k rows a query."""
+        books = self.books
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    codes = np.stack(b.column("codes").to_numpy(zero_copy_only=False))
-                    for qid, tables in shared.value:
-                        d = sum(t[codes[:, i]] for i, t in enumerate(tables))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, qid)), b.column("vec_id"), pa.array(d)], ["query_id", "vec_id", "dist"])
+        def prepare(q: np.ndarray) -> list[np.ndarray]:
+            return [np.square(part[:, None] - c[None]).sum(axis=2) for part, c in zip(np.split(q, len(books), axis=1), books, strict=True)]
+
+        def score(tables: list[np.ndarray], b: pa.RecordBatch) -> np.ndarray:
+            codes = matrix(b.column("codes"), b.num_rows)
+            return sum(t[:, codes[:, i]] for i, t in enumerate(tables))
 
-        return top_k(encoded.mapInArrow(run, "query_id bigint, vec_id bigint, dist double"), k)
+        return scan(queries, encoded, k, score, prepare, own=own)
 
 
 def lists_of(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -93,7 +91,15 @@ def lists_of(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, f"{fields}, list int")
 
 
-def probe_lists(queries: list[tuple[int, list[float]]], centres: np.ndarray, n_probe: int, spark) -> DataFrame:
-    """(query_id, list) of the n_probe nearest lists of each query."""
-    rows = [(int(qid), int(c)) for qid, q in queries for c in np.square(centres - np.asarray(q)).sum(axis=1).argsort()[:n_probe]]
-    return spark.createDataFrame(rows, "query_id bigint, list int")
+def probe_lists(queries: DataFrame, centres: np.ndarray, n_probe: int) -> DataFrame:
+    """(query_id, qvec, list) of the n_probe nearest lists of each query."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = matrix(b.column("qvec"), b.num_rows).astype(np.float64)
+                near = (np.square(centres).sum(axis=1)[None] - 2 * q @ centres.T).argsort(axis=1, kind="stable")[:, :n_probe]
+                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("qvec").take(at), pa.array(near.ravel().astype(np.int32))], ["query_id", "qvec", "list"])
+
+    kind = queries.schema["qvec"].dataType.simpleString()
+    return queries.select("query_id", "qvec").mapInArrow(run, f"query_id bigint, qvec {kind}, list int")
