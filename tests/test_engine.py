@@ -5,13 +5,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectrail.functions import bits as B
 from vectrail.functions import vectors as V
 from vectrail.operators import filters as J
 from vectrail.operators import graph as G
+from vectrail.operators import reports as R
 from vectrail.operators import search as S
 from vectrail.plans import catalog
 from vectrail.plans import quant_queries as QQ
+from vectrail.quant import closed_form as C
 from vectrail.quant import rotated as X
+from vectrail.quant import spherical as H
 from vectrail.sources import vectors as files
 from vectrail.streaming import log as L
 
@@ -246,6 +250,126 @@ def test_prune_keeps_what_nothing_hides():
     assert G.prune(x, np.zeros(2), np.arange(3), 3, 1.0) == [0, 2]
 
 
+def test_bits_of_any_width(spark):
+    rng = np.random.default_rng(8)
+    for bits, n in ((1, 9), (3, 8), (3, 5), (5, 7), (7, 1), (12, 6)):
+        codes = [int(c) for c in rng.integers(0, 1 << bits, n)]
+        df = spark.createDataFrame([(codes,)], "c array<bigint>")
+        packed = df.select(B.pack(F.col("c"), bits).alias("p"), B.unpack(B.pack(F.col("c"), bits), bits, n).alias("c")).first()
+        whole = sum(c << (bits * k) for k, c in enumerate(codes))
+        assert bytes(packed["p"]) == whole.to_bytes(-(-bits * n // 8), "little") and packed["c"] == codes
+
+
+def test_half_floats(spark):
+    df = spark.createDataFrame([(0, [0.1, 65504.0, 1e-9]), (1, None), (2, []), (3, [1e9])], "vec_id bigint, vec array<float>")
+    got = {r["vec_id"]: r["vec"] for r in V.as_half(df, "vec").collect()}
+    assert got[0] == [float(np.float16(np.float32(v))) for v in (0.1, 65504.0, 1e-9)] and got[1] is None and got[2] == [] and got[3] == [float("inf")]
+    assert [r[0] for r in df.orderBy("vec_id").select(V.contains(F.col("vec"), F.lit(1e9).cast("float"))).collect()] == [False, False, False, True]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4, 8])
+def test_spherical_codes(spark, bits):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((500, 64))
+    for metric in ("l2_sq", "ip_score"):
+        q = H.Spherical(bits, metric=metric).fit(rows(spark, x))
+        e = q.codes(x)
+        assert e["codes"].min() >= 0 and e["codes"].max() < 2**bits
+        found = q.search(q.encode(rows(spark, x)), rows(spark, x[:20], "query_id", "qvec"), 10, own=False).collect()
+        exact = np.square(x[:20, None] - x[None]).sum(axis=2) if metric == "l2_sq" else -(x[:20] @ x.T)
+        error = np.mean([abs(r["dist"] - exact[r["query_id"], r["vec_id"]]) for r in found])
+        assert error < {1: 60, 2: 30, 4: 8, 8: 0.6}[bits] and len(found) == 200
+    with pytest.raises(ValueError):
+        H.Spherical(3)
+
+
+def test_quantizers_share_an_interface(spark):
+    x = np.random.default_rng(10).standard_normal((300, 64))
+    for name in ("spherical_4", "product_1d", "rotated_4"):
+        q = H.QUANTIZERS[name]().fit(rows(spark, x))
+        found = q.search(q.encode(rows(spark, x)), rows(spark, x[:5], "query_id", "qvec"), 3)
+        assert sum(r["query_id"] == r["vec_id"] for r in found.filter("rank = 1").collect()) >= 4
+
+
+def test_scalar_codes_are_compensated(spark):
+    x = np.random.default_rng(11).standard_normal((50, 8))
+    sq = C.ScalarQuantizer.train(rows(spark, x), 8)
+    df = rows(spark, x).withColumn("c", sq.codes(F.col("vec"))).withColumn("d", sq.decode(F.col("c")))
+    pair = df.alias("a").join(df.alias("b"), F.col("a.vec_id") == F.col("b.vec_id") - 1)
+    a, b = (F.col("a.c"), F.col("b.c")), (F.col("a.d"), F.col("b.d"))
+    for coded, plain in ((sq.ip, V.ip), (sq.l2_sq, V.l2_sq), (sq.cosine, V.cosine_distance)):
+        assert all(r[0] == pytest.approx(r[1], abs=1e-9) for r in pair.select(coded(*a), plain(*b)).collect())
+
+
+def test_stored_files_are_files(spark, tmp_path):
+    x = np.random.default_rng(12).random((40, 3), dtype=np.float32)
+    table = files.write_binary(rows(spark, x), "vec", str(tmp_path / "table"))
+    assert files.store(table, str(tmp_path / "out"), "fvecs") == table.count() > 0
+    assert files.read_fvecs(spark, str(tmp_path / "out/*.fvecs")).count() == 40
+    files.append_csv(spark.createDataFrame([(1, "a")], "n int, t string"), str(tmp_path / "csv"))
+    files.append_csv(spark.createDataFrame([(2, "b,c")], "n int, t string"), str(tmp_path / "csv"))
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "csv"), "n int, t string").collect())) == [(1, "a"), (2, "b,c")]
+    edges = spark.createDataFrame([(0, 0, 1)], "src bigint, pos int, dst bigint")
+    files.save_index(str(tmp_path / "index"), {"bits": 4, "centre": [0.5]}, edges=edges, codes=rows(spark, x))
+    model, tables = files.load_index(spark, str(tmp_path / "index"))
+    assert model == {"bits": 4, "centre": [0.5]} and tables["codes"].count() == 40 and tables["edges"].collect() == edges.collect()
+    (tmp_path / "truth.jsonl").write_text('{"query_id":1,"count":2,"ids":[3,4],"distances":[0.5,1.5]}\n')
+    assert files.read_filter_truth(spark, str(tmp_path / "truth.jsonl")).first()["ids"] == [3, 4]
+
+
+def test_id_hash_of_known_values(spark):
+    def fnv(data):
+        h = 14695981039346656037
+        for byte in data:
+            h = (h ^ byte) * 1099511628211 % 2**64
+        return h - 2**64 if h >= 2**63 else h
+
+    df = spark.createDataFrame([(0, [1, 2, 70000]), (1, []), (2, None)], "id bigint, ids array<bigint>")
+    got = {r["id"]: r["hash"] for r in files.id_hash(df, "id", "ids").collect()}
+    assert got == {0: fnv(np.array([1, 2, 70000], dtype="<u4").tobytes()), 1: fnv(b""), 2: fnv(b"")}
+
+
+def test_generated_tables(spark):
+    x = np.stack([r["vec"] for r in files.random_vectors(spark, 50, 16, 3, 2.0).orderBy("vec_id").collect()])
+    assert np.allclose(np.linalg.norm(x, axis=1), 2.0, atol=1e-5) and len(np.unique(x, axis=0)) == 50
+    counts = {r["label"]: r["count"] for r in files.zipf_labels(spark, 20_000, 5, 1).groupBy("label").count().collect()}
+    assert set(counts) == set(range(1, 6)) and 1.7 < counts[1] / counts[2] < 2.3
+
+
+def test_postings_are_typed_and_change(spark):
+    docs = spark.createDataFrame([(1, '{"a":42}'), (2, '{"a":"42"}'), (3, '{"a":42.5,"b":{"c":[true,{"d":null}]}}')], "id bigint, doc string")
+    a = J.flatten(docs, "id", "doc")
+    ids = lambda df: sorted(r[0] for r in df.collect())
+    assert ids(J.postings(a, J.parse({"a": {"$eq": 42}}), "id")) == [1] and ids(J.postings(a, J.parse({"a": {"$eq": "42"}}), "id")) == [2]
+    assert ids(J.postings(a, J.parse({"a": {"$gte": 42}}), "id")) == [1, 3] and ids(J.postings(a, J.parse({"b.c.0": {"$eq": True}}), "id")) == [3]
+    more = J.insert_postings(a, J.flatten(spark.createDataFrame([(4, '{"a":42}')], "id bigint, doc string"), "id", "doc"), "id")
+    assert ids(J.postings(more, J.parse({"a": {"$eq": 42}}), "id")) == [1, 4]
+    gone = J.delete_postings(more, spark.createDataFrame([(1,)], "id bigint"), "id")
+    assert ids(J.postings(gone, J.parse({"a": {"$eq": 42}}), "id")) == [4]
+    with pytest.raises(J.FilterError, match="already"):
+        J.insert_postings(a, a, "id")
+    with pytest.raises(J.FilterError, match="twice"):
+        J.bitmap(docs, [(1, {"a": {"$eq": 1}}), (1, {"a": {"$eq": 2}})], "id", "doc")
+    assert J.visit(J.parse({"$and": [{"a": {"$eq": 1}}, {"$not": {"b": {"$lt": 2}}}]}), lambda n, kids: 1 + sum(kids)) == 4
+
+
+def test_runbooks(spark):
+    steps = {1: {"operation": "insert", "start": 0, "end": 10}, 3: {"operation": "search"}, 4: {"operation": "delete", "start": 0, "end": 4}, 7: {"operation": "replace", "start": 5, "end": 6, "ids_start": 9}, 9: {"operation": "search"}}
+    log = L.read_runbook(spark, steps, 10)
+    v, q = rows(spark, [[float(i)] for i in range(10)]), rows(spark, [[0.0], [9.0]], "query_id", "qvec")
+    kept = []
+    found = L.run_stages(log, v, q, 1, lambda stage, alive: kept.append((stage, alive.count()))).collect()
+    assert sorted((r["stage"], r["query_id"], r["vec_id"]) for r in found) == [(1, 0, 0), (1, 1, 9), (4, 0, 4), (4, 1, 5)] and kept == [(2, 6)]
+    with pytest.raises(ValueError, match="more than"):
+        L.read_runbook(spark, steps, 9)
+
+
+def test_results_without_a_configuration_are_refused(spark):
+    r = spark.createDataFrame([("a", 1), ("b", 2)], "config_id string, n int")
+    with pytest.raises(KeyError):
+        R.with_config(r, r.filter("config_id = 'a'"), ["config_id"])
+
+
 def test_files_round_trip(spark, tmp_path):
     x = np.random.default_rng(0).random((5, 3), dtype=np.float32)
     (tmp_path / "a.fvecs").write_bytes(files.encode_fvecs(x))
@@ -255,7 +379,7 @@ def test_files_round_trip(spark, tmp_path):
     for got in (files.read_fvecs(spark, str(tmp_path / "a.fvecs")), files.read_bin(spark, str(tmp_path / "a.bin"))):
         assert np.array_equal(np.array([r["vec"] for r in got.orderBy("row").collect()], dtype=np.float32), x)
     assert files.ground_truth(files.read_ivecs(spark, str(tmp_path / "a.ivecs")), 1).count() == 2
-    assert [tuple(r) for r in files.read_graph(spark, str(tmp_path / "a.graph")).orderBy("src", "pos").collect()] == [(0, 0, 1, 1), (1, 0, 0, 1), (1, 1, 2, 1)]
+    assert [tuple(r) for r in files.read_graph(spark, str(tmp_path / "a.graph")).orderBy("src", "pos").collect()] == [(0, 0, 1, 1), (1, 0, 0, 1), (1, 1, 2, 1), (2, None, None, 1)]
     (tmp_path / "b.fvecs").write_bytes(files.encode_fvecs(x)[:-1])
     with pytest.raises(Exception, match="divide"):
         files.read_fvecs(spark, str(tmp_path / "b.fvecs")).count()

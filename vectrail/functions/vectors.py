@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Norms below the smallest normal 32-bit float count as zero in cosine similarity.
 MIN_NORM = 1.17549435e-38
@@ -80,6 +84,31 @@ def sign_dot(a: Column, b: Column, dim: int) -> Column:
     return F.lit(dim).cast("bigint") - 2 * hamming(a, b)
 
 
+def contains(v: Column, x) -> Column:
+    """Whether x is among the values; false for an empty or null array."""
+    return F.coalesce(F.array_contains(v, x), F.lit(False))
+
+
+def as_half(df: DataFrame, column: str) -> DataFrame:
+    """The column's values rounded to 16-bit floats, kept as 32-bit ones."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(at)
+            with np.errstate(over="ignore"):
+                half = v.flatten().to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+            sizes = np.array([0 if n is None else n for n in pc.list_value_length(v).to_pylist()], dtype=np.int64)
+            nulls = pa.array(np.append(v.is_null().to_numpy(zero_copy_only=False), False))
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), mask=nulls.to_numpy(zero_copy_only=False))
+            columns = list(b.columns)
+            columns[at] = pa.ListArray.from_arrays(offsets, pa.array(half))
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    fields = [f if f.name != column else T.StructField(column, T.ArrayType(T.FloatType())) for f in df.schema.fields]
+    return df.mapInArrow(run, T.StructType(fields))
+
+
 #: Distances by name; register your own here.
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "l2_sq": l2_sq,

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stage_table
+
 MAX_DEPTH = 2
 COMPARE = ("$eq", "$ne", "$lt", "$lte", "$gt", "$gte")
 
@@ -100,17 +102,27 @@ def matches(df: DataFrame, query: dict, json_column: str) -> DataFrame:
     return df.filter(compile_filter(parse(query), F.try_parse_json(F.col(json_column))))
 
 
-def flatten(df: DataFrame, key: str, json_column: str, levels: int = 3) -> DataFrame:
-    """(key, path, value): the leaves of each document; objects are opened ``levels`` deep."""
+def visit(node: Node, leave) -> object:
+    """Folds a tree from below: ``leave(node, results of its kids)`` for every node."""
+    return leave(node, [visit(kid, leave) for kid in node.kids])
+
+
+def flatten(df: DataFrame, key: str, json_column: str, separator: str = ".", arrays: bool = True) -> DataFrame:
+    """(key, path, value, kind): the leaves of each document, however deep; elements of arrays have their places in paths, or arrays are leaves."""
     value = F.try_parse_json(F.col(json_column))
-    rows = df.select(key, F.lit("").alias("path"), value.alias("v")).filter("v is not null")
+    rows = stage_table(df.select(key, F.lit(None).cast("string").alias("path"), value.alias("v")).filter("v is not null"), "documents")
     leaves = None
-    for _ in range(levels):
-        tvf = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(key, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "key").alias("path"), F.col("value").alias("v"))
-        is_object = F.schema_of_variant("v").startswith("OBJECT")
-        leaf = tvf.filter(~is_object).select(key, "path", F.col("v").cast("string").alias("value"))
+    opened = r"^(OBJECT|ARRAY)" if arrays else r"^OBJECT"
+    while not rows.isEmpty():
+        step = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(key, F.concat_ws(separator, F.col("path"), F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.col("value").alias("v"))
+        step = step.withColumn("kind", F.schema_of_variant("v"))
+        inner = F.coalesce(F.col("kind").rlike(opened), F.lit(False))
+        step = stage_table(step, "leaves")
+        leaf = step.filter(~inner).select(key, "path", F.col("v").cast("string").alias("value"), "kind")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        rows = tvf.filter(is_object)
+        rows = step.filter(inner).drop("kind")
+    if leaves is None:
+        return rows.select(key, "path", F.col("v").cast("string").alias("value"), F.lit(None).cast("string").alias("kind"))
     return leaves
 
 
@@ -119,8 +131,24 @@ def posting_lists(attributes: DataFrame, key: str) -> DataFrame:
     return attributes.groupBy("path", "value").agg(F.sort_array(F.collect_set(key)).alias("ids"), F.countDistinct(key).alias("n"))
 
 
+def insert_postings(attributes: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """Attributes with those of new documents; a document that is there already is an error."""
+    again = more.select(key).distinct().join(attributes.select(key).distinct(), key).limit(1)
+    if not again.isEmpty():
+        raise FilterError(f"document {again.first()[0]} is there already")
+    return attributes.unionByName(more)
+
+
+def delete_postings(attributes: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return attributes.join(ids.select(key).distinct(), key, "left_anti")
+
+
 def postings(attributes: DataFrame, node: Node, key: str) -> DataFrame:
-    """Document ids by set operations on postings. As a posting list knows no absent values, not and $ne are refused."""
+    """Document ids by set operations on postings. As a posting list knows no absent values, not and $ne are refused.
+
+    Equality is that of typed values where attributes have a ``kind``: the
+    number 42 is neither the text "42" nor 42.0.
+    """
     if node.op in ("and", "or"):
         out = postings(attributes, node.kids[0], key)
         for kid in node.kids[1:]:
@@ -130,10 +158,34 @@ def postings(attributes: DataFrame, node: Node, key: str) -> DataFrame:
     if node.op in ("not", "$ne"):
         raise FilterError(f"posting lists can't answer {node.op}")
     v, number = F.col("value"), F.col("value").try_cast("double")
-    test = {"$lt": number < F.lit(node.value), "$lte": number <= F.lit(node.value), "$gt": number > F.lit(node.value), "$gte": number >= F.lit(node.value)}.get(node.op, v == F.lit(str(node.value)))
+    kinds = {bool: "^BOOLEAN", int: "^BIGINT", float: "^(DOUBLE|DECIMAL)", str: "^STRING"}
+    typed = "kind" in attributes.columns
+    if node.op == "$eq":
+        want = node.value
+        same = number == F.lit(want) if isinstance(want, float) else v == F.lit(str(want).lower() if isinstance(want, bool) else str(want))
+        test = same & F.col("kind").rlike(kinds[type(want)]) if typed else same
+    else:
+        test = {"$lt": number < F.lit(node.value), "$lte": number <= F.lit(node.value), "$gt": number > F.lit(node.value), "$gte": number >= F.lit(node.value)}[node.op]
+        if typed:
+            test = test & F.col("kind").rlike("^(BIGINT|DOUBLE|DECIMAL)")
     return attributes.filter((F.col("path") == node.path) & F.coalesce(test, F.lit(False))).select(key).distinct()
 
 
+def without(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Difference of two posting sets."""
+    return a.subtract(b)
+
+
+def bitmap(df: DataFrame, queries: list[tuple[int, dict]], key: str, json_column: str) -> DataFrame:
+    """(query_id, key): the documents that pass each query's filter, in one pass. A query id that occurs twice is an error."""
+    ids = [q for q, _ in queries]
+    if len(set(ids)) < len(ids):
+        raise FilterError("a query id occurs twice")
+    document = F.try_parse_json(F.col(json_column))
+    passed = F.array(*(F.when(compile_filter(parse(f), document), F.lit(q).cast("bigint")) for q, f in queries))
+    return df.select(F.explode(F.filter(passed, lambda q: q.isNotNull())).alias("query_id"), key)
+
+
 def specificity(df: DataFrame, queries: dict[int, dict], json_column: str) -> DataFrame:
     """query_id, matches, specificity for a few filters, in one pass."""
     document = F.try_parse_json(F.col(json_column))

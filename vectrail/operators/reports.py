@@ -64,3 +64,27 @@ def runs_of(df: DataFrame, key: str, page: str) -> DataFrame:
 def number_in(label: Column) -> Column:
     """The first number in a label, else 0.0."""
     return F.coalesce(F.when(label.rlike(r"[0-9]"), F.regexp_extract(label, r"([-+]?[0-9]*\.?[0-9]+)", 1).try_cast("double")), F.lit(0.0))
+
+
+def with_config(results: DataFrame, configs: DataFrame, keys: list[str]) -> DataFrame:
+    """Results with the settings of their configuration; results without one are an error, not lost."""
+    absent = results.join(configs, keys, "left_anti").select(*keys).limit(1)
+    if not absent.isEmpty():
+        raise KeyError(f"no configuration for {absent.first().asDict()}")
+    return results.join(configs, keys)
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
+    """Metric rows with what is known of their candidates; rows without metadata stay, with nulls."""
+    return rows.join(metadata, keys, "left")
+
+
+def page_requests(requests: DataFrame, capacity: int) -> DataFrame:
+    """query_id, pos, page, cached: whether one of the query's last ``capacity`` different pages is asked for again (least recently used goes first)."""
+    w = Window.partitionBy("query_id", "page").orderBy("pos")
+    last = requests.withColumn("before", F.lag("pos").over(w))
+    # different pages since the last request of this one
+    seen = last.select("query_id", F.col("pos").alias("p2"), F.col("page").alias("page2"))
+    between = last.filter("before is not null").join(seen, "query_id").filter("p2 > before and p2 < pos").groupBy("query_id", "pos").agg(F.countDistinct("page2").alias("others"))
+    out = last.join(between, ["query_id", "pos"], "left")
+    return out.select("query_id", "pos", "page", (F.col("before").isNotNull() & (F.coalesce("others", F.lit(0)) < capacity)).alias("cached"))

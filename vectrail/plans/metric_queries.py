@@ -48,7 +48,27 @@ for _name, _filter, _where in (
 
 @query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_flatten(spark, d):
-    return J.flatten(events(spark, d), "event_id", "props")
+    return J.flatten(events(spark, d), "event_id", "props").drop("kind")
+
+
+@query("SELECT event_id, unnest(['a/b/c/d/e', 'list/0', 'list/1/x']) AS path, unnest([CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), event_type]) AS value FROM events")
+def json_flatten_deep(spark, d):
+    e = events(spark, d)
+    nested = F.format_string('{"a":{"b":{"c":{"d":{"e":%d}}}},"list":[%d,{"x":"%s"}]}', "event_id", "user_id", "event_type")
+    return J.flatten(e.withColumn("doc", nested), "event_id", "doc", "/").drop("kind")
+
+
+@query(f"SELECT 1 AS query_id, event_id FROM events WHERE {_KJ} < 10 UNION ALL SELECT 2, event_id FROM events WHERE {_KJ} >= 50 AND {_KJ} < 60 UNION ALL SELECT 3, event_id FROM events WHERE NOT coalesce({_KJ} > 5, false)")
+def filter_bitmap(spark, d):
+    return J.bitmap(events(spark, d), [(1, {"k": {"$lt": 10}}), (2, {"k": {"$gte": 50, "$lt": 60}}), (3, {"$not": {"k": {"$gt": 5}}})], "event_id", "props")
+
+
+@query(f"SELECT event_id FROM events WHERE {_KJ} < 50 AND NOT ({_KJ} = 7) AND event_id % 10 <> 0")
+def posting_difference(spark, d):
+    """After the documents of every tenth id are deleted."""
+    a = J.flatten(events(spark, d), "event_id", "props")
+    a = J.delete_postings(a, events(spark, d).filter("event_id % 10 = 0").select("event_id"), "event_id")
+    return J.without(J.postings(a, J.parse({"k": {"$lt": 50}}), "event_id"), J.postings(a, J.parse({"k": {"$eq": 7}}), "event_id"))
 
 
 @query("SELECT 'k' AS path, json_extract_string(props, '$.k') AS value, list_sort(list_distinct(list(event_id))) AS ids, count(DISTINCT event_id) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL")
@@ -58,7 +78,7 @@ def posting_list_build(spark, d):
 
 def attributes(spark, d):
     e = events(spark, d)
-    kind = e.select("event_id", F.lit("type").alias("path"), F.col("event_type").alias("value"))
+    kind = e.select("event_id", F.lit("type").alias("path"), F.col("event_type").alias("value"), F.lit("STRING").alias("kind"))
     return J.flatten(e, "event_id", "props").unionByName(kind)
 
 
@@ -281,6 +301,26 @@ def dataset_validate(spark, d):
     return files.validate(embeddings(spark, d).withColumnRenamed("embedding", "vec"))
 
 
+@query(f"WITH {RUNS}, r AS (SELECT method, config_id, round(avg(recall), 6) AS recall FROM runs GROUP BY ALL), c AS (SELECT CAST(s_suppkey % 7 AS VARCHAR) AS config_id, max(s_suppkey) AS setting FROM supplier GROUP BY 1) SELECT method, config_id, recall, setting FROM r JOIN c USING (config_id)")
+def runs_with_config(spark, d):
+    r = runs(spark, d).groupBy("method", "config_id").agg(F.round(F.avg("recall"), 6).alias("recall"))
+    c = spark.read.parquet(f"{d}/supplier.parquet").groupBy((F.col("s_suppkey") % 7).cast("string").alias("config_id")).agg(F.max("s_suppkey").alias("setting"))
+    return R.with_config(r, c, ["config_id"]).select("method", "config_id", "recall", "setting")
+
+
+@query(f"WITH {TR} SELECT t.query_id, t.vec_id, t.rank, e.label FROM t LEFT JOIN (SELECT vec_id, label FROM embeddings WHERE label < 5) e USING (vec_id)")
+def candidates_with_metadata(spark, d):
+    known = embeddings(spark, d).filter("label < 5").select("vec_id", "label")
+    return R.with_metadata(truth(spark, d).select("query_id", "vec_id", "rank"), known, ["vec_id"]).select("query_id", "vec_id", "rank", "label")
+
+
+@query("""WITH r AS (SELECT user_id AS query_id, event_id AS pos, event_id // 7 % 5 AS page FROM events), l AS (SELECT *, lag(pos) OVER (PARTITION BY query_id, page ORDER BY pos) AS b FROM r)
+SELECT query_id, pos, page, b IS NOT NULL AND (SELECT count(DISTINCT x.page) FROM r x WHERE x.query_id = l.query_id AND x.pos > l.b AND x.pos < l.pos) < 2 AS cached FROM l""")
+def page_cache(spark, d):
+    r = events(spark, d).select(F.col("user_id").alias("query_id"), F.col("event_id").alias("pos"), F.expr("event_id div 7 % 5").alias("page"))
+    return R.page_requests(r, 2)
+
+
 @query("SELECT event_id, CAST(coalesce(try_cast(regexp_extract(props, '([-+]?[0-9]*\\.?[0-9]+)', 1) AS DOUBLE), 0.0) AS DOUBLE) AS number FROM events")
 def parameter_number(spark, d):
     return events(spark, d).select("event_id", R.number_in(F.col("props")).alias("number"))

@@ -12,9 +12,10 @@ from ..operators import search as S
 from ..quant import closed_form as C
 from ..quant import product as P
 from ..quant import rotated as X
+from ..quant import spherical as H
 from ..sources import vectors as files
 from ..streaming import log as L
-from .search_queries import IS_QUERY, K, L2, all_distances, base, dist_sql, embeddings, out, queries, top_sql
+from .search_queries import IP, IS_QUERY, K, L2, NB, NQ, all_distances, base, dist_sql, embeddings, out, queries, top_sql
 
 QUERIES, SQL = {}, {}
 
@@ -170,6 +171,64 @@ def kmeans_step(spark, d):
     return near.join(e, "vec_id").select("centre", F.posexplode(V.doubles("vec")).alias("dim", "x")).groupBy("centre", F.col("dim").cast("bigint").alias("dim")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
+@query(f"WITH {mm_sql(4)}, b AS (SELECT vec_id, list_transform(generate_series(0, 191), lambda i: ((codes[i // 3 + 1] // 2) >> (i % 3)) & 1) AS b FROM m) SELECT vec_id, {_JOIN.format('list_transform(generate_series(0, 23), lambda k: list_sum(list_transform(generate_series(1, 8), lambda i: b[k * 8 + i] << (i - 1))))')} AS packed FROM b")
+def three_bit_pack(spark, d):
+    codes = F.transform(C.minmax(F.col("vec"), 4)["codes"], lambda c: F.floor(c / 2).cast("bigint"))
+    return vectors(spark, d).select("vec_id", codes_text(B.pack(codes, 3)).alias("packed"))
+
+
+@query(f"WITH {mm_sql(8)} SELECT vec_id, {_JOIN.format('list_transform(codes, lambda c: CAST(round(c * 15 / 255) AS BIGINT))')} AS codes FROM m")
+def minmax_recompress(spark, d):
+    return vectors(spark, d).select("vec_id", codes_text(C.recompress(C.minmax(F.col("vec"), 8), 8, 4)["codes"]).alias("codes"))
+
+
+_DEC = "list_transform(generate_series(1, 64), lambda i: sh[i] + codes[i] * scale / 15)"
+_CODED = f"WITH {_SQC}, q AS (SELECT vec_id AS query_id, {_DEC} AS v FROM c WHERE {IS_QUERY}), b AS (SELECT vec_id, {_DEC} AS v FROM c)"
+for _name, _f, _sql in (
+    ("sq_codes_l2_knn", "l2_sq", L2),
+    ("sq_codes_ip_knn", "ip", f"-({IP})"),
+    ("sq_codes_cosine_knn", "cosine", f"1 - greatest(-1.0, least(1.0, {IP} / ({NQ} * {NB})))"),
+):
+    SQL[_name] = f"{_CODED}, d AS (SELECT query_id, vec_id, {_sql} AS dist FROM q, b WHERE query_id <> vec_id), r AS (SELECT query_id, vec_id, round(dist, 9) AS dist FROM d), t AS ({top_sql(source='r')}) SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM t"
+
+    def _coded(spark, d, f=_f):
+        sq = C.ScalarQuantizer.train(vectors(spark, d), 4)
+        c = vectors(spark, d).select("vec_id", sq.codes(F.col("vec")).alias("vec"))
+        q = c.filter(IS_QUERY).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+        measure = getattr(sq, f)
+        dist = measure(F.col("qvec"), F.col("vec"))
+        return out(S.top_k(S.pairs(q, c, own=False).withColumn("dist", F.round(-dist if f == "ip" else dist, 9)), K))
+
+    QUERIES[_name] = _coded
+
+
+@query("SELECT CAST(dim AS BIGINT) AS dim, round(quantile_cont(x, 0.01), 6) AS shift, round(quantile_cont(x, 0.99) - quantile_cont(x, 0.01), 6) AS scale FROM (SELECT unnest(generate_series(0, 63)) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY dim")
+def sq_percentile_train(spark, d):
+    return C.percentile_model(vectors(spark, d)).select("dim", F.round("shift", 6).alias("shift"), F.round("scale", 6).alias("scale"))
+
+
+@query("SELECT vec_id, list_contains(list_transform(embedding, lambda x: x > 0.3), true) AS has_large, list_contains([3, 5], label) AS chosen FROM embeddings")
+def contains_value(spark, d):
+    return vectors(spark, d).select("vec_id", V.contains(F.transform("vec", lambda x: x > 0.3), True).alias("has_large"), V.contains(F.array(F.lit(3), F.lit(5)), F.col("label")).alias("chosen"))
+
+
+for _b in (1, 2, 4, 8):
+
+    def _spherical(spark, d, b=_b):
+        q = H.QUANTIZERS[f"spherical_{b}"]().fit(base(spark, d))
+        return out(q.search(q.encode(base(spark, d)), queries(spark, d), K, own=False))
+
+    QUERIES[f"spherical_{_b}bit_knn"] = _spherical
+
+
+@query()
+def rerank_sweep(spark, d):
+    """Recall of exact rerank by the number of 1-bit candidates."""
+    q = H.Spherical(1).fit(base(spark, d))
+    coarse = q.search(q.encode(base(spark, d)), queries(spark, d), 100, own=False).drop("rank")
+    return H.sweep(coarse, queries(spark, d), base(spark, d), S.knn_arrow(queries(spark, d), base(spark, d), K, own=False), K, [10, 20, 50, 100])
+
+
 # ---- rotated codes, product quantization and inverted lists: approximate, checked in tests
 
 def mean_vector(spark, d) -> list[float]:

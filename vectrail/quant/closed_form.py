@@ -31,6 +31,13 @@ def decode(q: Column) -> Column:
     return F.transform(q["codes"], lambda c: q["low"] + q["step"] * c)
 
 
+def recompress(q: Column, bits: int, fewer: int) -> Column:
+    """STRUCT(low, step, codes) of ``bits`` on a grid of ``fewer`` bits over the same range."""
+    levels, less = 2**bits - 1, 2**fewer - 1
+    code = lambda c: F.round(c * less / levels).cast("bigint")
+    return F.struct(q["low"].alias("low"), (q["step"] * levels / less).alias("step"), F.transform(q["codes"], code).alias("codes"))
+
+
 @dataclass(frozen=True)
 class ScalarQuantizer:
     """One step for all dimensions: shift = mean - p, scale = 2 p, p = deviations * largest standard deviation."""
@@ -54,6 +61,32 @@ class ScalarQuantizer:
         return F.zip_with(codes, F.array(*map(F.lit, self.shift)), lambda c, s: s + c * self.scale / top)
 
 
+    def ip(self, a: Column, b: Column) -> Column:
+        """Inner product of two coded vectors from codes: their product, and what the shifts add to it."""
+        step = self.scale / float(2**self.bits - 1)
+        shift = F.array(*map(F.lit, self.shift))
+        product = total(F.zip_with(a, b, lambda x, y: (x * y).cast("double"))) * step * step
+        shifted = lambda c: total(F.zip_with(c, shift, lambda x, s: x * s)) * step
+        return product + shifted(a) + shifted(b) + F.lit(sum(x * x for x in self.shift))
+
+    def l2_sq(self, a: Column, b: Column) -> Column:
+        """Squared distance of two coded vectors; shifts cancel out."""
+        step = self.scale / float(2**self.bits - 1)
+        return total(F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("double"))) * step * step
+
+    def cosine(self, a: Column, b: Column) -> Column:
+        """1 - cosine similarity of two coded vectors, clamped; 1 where one is zero."""
+        size = F.sqrt(self.ip(a, a)) * F.sqrt(self.ip(b, b))
+        return 1 - F.when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), self.ip(a, b) / size))).otherwise(0.0)
+
+
+def percentile_model(vectors: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """dim, shift, scale: a range of its own for each dimension, from percentiles."""
+    values = vectors.select(F.posexplode(doubles("vec")).alias("dim", "x"))
+    p = values.groupBy("dim").agg(F.percentile("x", F.lit(low)).alias("a"), F.percentile("x", F.lit(high)).alias("b"))
+    return p.select(F.col("dim").cast("bigint").alias("dim"), F.col("a").alias("shift"), (F.col("b") - F.col("a")).alias("scale"))
+
+
 def scalar_model(vectors: DataFrame, deviations: float = 2.0) -> DataFrame:
     """dim, shift, scale: one row a dimension."""
     stats = vectors.select(F.posexplode(doubles("vec")).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("s2"))

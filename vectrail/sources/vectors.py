@@ -7,6 +7,7 @@ graph: uint64 size, uint32 degree, uint32 start, uint64 starts, then for each no
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -95,21 +96,82 @@ def write_binary(df: DataFrame, column: str, path: str, encode=encode_fvecs, ord
     return df.sparkSession.read.parquet(path)
 
 
+def store(table: DataFrame, folder: str, suffix: str) -> int:
+    """Each content of ``write_binary`` as a file of its own in ``folder`` of any store that Spark reaches; the number of files. One content at a time passes the driver."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    n = 0
+    for n, r in enumerate(table.select("first", "content").toLocalIterator(), 1):  # noqa: B007
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/part-{r['first']:020d}.{suffix}")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytes(r["content"]))
+        finally:
+            out.close()
+    return n
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of CSV files, each of which has the header once."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def save_index(folder: str, model: dict, **tables: DataFrame) -> None:
+    """An index as a folder: a model of plain values as JSON, and tables (vectors, codes, edges, ...) as Parquet."""
+    if not tables:
+        raise ValueError("an index has at least one table")
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark.createDataFrame([(json.dumps({"model": model, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
+
+
+def load_index(spark: SparkSession, folder: str) -> tuple[dict, dict[str, DataFrame]]:
+    """The model and the tables of a saved index."""
+    held = json.loads(spark.read.text(f"{folder}/model").first()[0])
+    return held["model"], {name: spark.read.parquet(f"{folder}/{name}") for name in held["tables"]}
+
+
+def id_hash(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, hash: 64-bit FNV-1a over the little-endian 32-bit ids of an array, as a signed BIGINT."""
+    # fixed values of the hash
+    basis, prime = 0xCBF29CE484222325, 0x100000001B3
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for ids in frame[column]:
+                h = basis
+                for byte in np.asarray(ids if ids is not None else [], dtype="<u4").tobytes():
+                    h = ((h ^ byte) * prime) & 0xFFFFFFFFFFFFFFFF
+                out.append(h - (1 << 64) if h >> 63 else h)
+            yield pd.DataFrame({key: frame[key], "hash": out})
+
+    return df.select(key, column).mapInPandas(run, f"{key} bigint, hash bigint")
+
+
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    """src, pos, dst, start of graph files."""
+    """src, pos, dst, start of graph files; a node without neighbours has one row with nulls. The file's own length counts, whatever its header says."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
-                size, _, start, _ = struct.unpack("<QIIQ", content[:24])
-                if size != len(content):
-                    raise ValueError("the header's size isn't the file's")
+                if len(content) < 24 or len(content) % 4:
+                    raise ValueError("the file is cut off")
+                _, _, start, _ = struct.unpack("<QIIQ", content[:24])
                 words, at, node, rows = np.frombuffer(content, dtype="<u4", offset=24), 0, 0, []
                 while at < len(words):
                     n = int(words[at])
-                    rows += [(node, p, int(d), start) for p, d in enumerate(words[at + 1 : at + 1 + n])]
+                    if at + 1 + n > len(words):
+                        raise ValueError("the file is cut off")
+                    rows += [(node, p, int(d), start) for p, d in enumerate(words[at + 1 : at + 1 + n])] or [(node, None, None, start)]
                     at, node = at + 1 + n, node + 1
-                yield pd.DataFrame(rows, columns=["src", "pos", "dst", "start"])
+                out = pd.DataFrame(rows, columns=["src", "pos", "dst", "start"])
+                yield out.astype({"pos": "Int32", "dst": "Int64"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "src bigint, pos int, dst bigint, start bigint")
 
@@ -136,6 +198,11 @@ def read_filter_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.try_variant_get(line, "$.query_id", "bigint").alias("query_id"), F.try_variant_get(line, "$.filter", "string").alias("filter"))
 
 
+def read_filter_truth(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, count, ids, distances of each line of filtered ground truth."""
+    return spark.read.schema("query_id bigint, count bigint, ids array<bigint>, distances array<double>").json(path)
+
+
 def tsv_lines(df: DataFrame, key: str, column: str) -> DataFrame:
     """Lines of tab-separated %.6g values."""
     return df.select(key, F.array_join(F.transform(column, lambda x: F.format_string("%.6g", x.cast("double"))), "\t").alias("line"))

@@ -12,6 +12,46 @@ def active_at(log: DataFrame, stage: int) -> DataFrame:
     return last.filter(F.col("e.op") != "delete").select("id", F.col("e.offset").alias("offset"))
 
 
+def read_runbook(spark: SparkSession, steps: dict, max_points: int | None = None) -> DataFrame:
+    """A log from numbered steps {operation, start, end} (or ids_start for where a replace takes its vectors), a range of ids each.
+
+    Steps need not be numbered without gaps; they keep their order. More points
+    alive at once than ``max_points`` are an error.
+    """
+    rows, alive = [], 0
+    for stage, (_, step) in enumerate(sorted((int(k), v) for k, v in steps.items())):
+        op = step["operation"]
+        if op not in ("insert", "delete", "replace", "search"):
+            raise ValueError(f"unknown operation {op}")
+        if op != "search":
+            n = step["end"] - step["start"]
+            if n <= 0:
+                raise ValueError(f"step {stage} has no ids")
+            alive += n * {"insert": 1, "delete": -1, "replace": 0}[op]
+            if max_points is not None and alive > max_points:
+                raise ValueError(f"{alive} points after step {stage}, more than {max_points}")
+        rows.append((stage, op, step.get("start", 0), step.get("end", 1), step.get("ids_start", step.get("start", 0))))
+    plan = spark.createDataFrame(rows, "stage int, op string, first bigint, last bigint, source bigint")
+    return plan.withColumn("id", F.explode(F.sequence("first", F.col("last") - 1))).select("stage", "op", "id", (F.col("source") + F.col("id") - F.col("first")).alias("offset"))
+
+
+def run_stages(log: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, maintain=None) -> DataFrame:
+    """stage, query_id, rank, vec_id, dist of the searches of a log, each over what is alive at its stage. ``maintain(stage, alive)`` is called after every stage that deletes."""
+    from ..operators.search import knn_arrow
+
+    out = None
+    for r in log.groupBy("stage").agg(F.collect_set("op").alias("ops")).orderBy("stage").collect():
+        alive = active_at(log, r["stage"]).join(vectors.select(F.col("vec_id").alias("offset"), "vec"), "offset").select(F.col("id").alias("vec_id"), "vec")
+        if "delete" in r["ops"] and maintain is not None:
+            maintain(r["stage"], alive)
+        if "search" in r["ops"]:
+            found = knn_arrow(queries, alive, k).withColumn("stage", F.lit(r["stage"]))
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("the log has no search")
+    return out
+
+
 def validate(log: DataFrame) -> DataFrame:
     """Events that can't be: an insert of a present id, a delete or replace of an absent one."""
     before = F.lag("op").over(Window.partitionBy("id").orderBy("stage"))
