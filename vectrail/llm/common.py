@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.tables import shared_dir, stage_table
+
+__all__ = ["BATCH_BYTES", "WORD_GAP", "claim", "free_names", "let", "map_arrow", "running", "shared_dir", "split_words", "stage_table", "table", "words_of"]
+
 #: Separators of words: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Most bytes of an Arrow batch, unless a single row has more.
@@ -20,50 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one, else the session's checkpoint folder.
-
-    Only a session in one process may do without both; it uses a folder under /tmp.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            folder = jvm_dir.get()
-        elif spark.sparkContext.master.startswith("local"):
-            folder = "/tmp/checkpoints/vectrail"
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return folder.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again: cuts the lineage and survives lost executors.
-
-    Lazy results may read the table as long as the session lives; it is deleted when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vectrail-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def drop_tables() -> None:
-    """Delete the tables of ``stage_table`` whose session still runs; callers may do so earlier, once no result reads them."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended, and its tables stay for whoever clears the folder
-            return
-
-
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """Names like the wanted ones that none of the columns has."""
     taken = {c.lower() for c in columns}

@@ -57,7 +57,7 @@ FLOOR = 0.6
 BEST = 2
 MEMORY = 250_000
 #: Fewest and most counters of the order of shingles in round 3, by how many shingles there are; they reach the driver.
-SLOTS, MOST_SLOTS = 1 << 18, 1 << 22
+SLOTS, MOST_SLOTS = 1 << 18, 1 << 20
 #: Members of a key of round 3 that are paired in one task.
 HOT = 4096
 
@@ -154,10 +154,6 @@ def key_of_text() -> tuple[Column, Column]:
     return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")
 
 
-def same_key(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-
-
 def sketch_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles", _shingler.seen.clear)
@@ -248,7 +244,7 @@ def prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
         count = np.zeros(slots, dtype=np.int64)
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                np.add.at(count, (_shingler.shingles(t) % _U(slots)).astype(np.int64), 1)
+                count[(_shingler.shingles(t) % _U(slots)).astype(np.int64)] += 1  # once a text, so that a slot of one text counts 1
         slot = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count[slot])], ["slot", "n"])
 
@@ -333,9 +329,10 @@ def links(docs: DataFrame, reps: DataFrame, known: DataFrame) -> tuple[DataFrame
     order = F.struct(F.xxhash64("rep").alias("h"), "rep")
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order)["rep"].alias("center")).filter("n > 1")
     members = stage_table(keys.join(full.select("key", "center"), "key"), "members")
-    wanted = stage_table(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "th"), "wanted")
-    keyed = docs.select(*key_of_text(), "text")
-    texts = stage_table(keyed.join(wanted, same_key(keyed, wanted)).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    one = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.xxhash64("doc_id", "th").alias("k"), "rep", F.struct("doc_id", "th").alias("c"))
+    keyed = docs.select(*key_of_text(), "text").withColumn("k", F.xxhash64("doc_id", "th"))
+    texts = keyed.join(stage_table(one, "wanted"), "k").filter(F.struct("doc_id", "th").eqNullSafe(F.col("c"))).select("k", "rep", "text")
+    texts = stage_table(texts.dropDuplicates(["k", "rep"]).drop("k"), "texts")
 
     # round 1: the bucket's first class
     pairs = members.filter("rep <> center").select(*ordered("rep", "center")).distinct()
@@ -383,11 +380,11 @@ def resolve(docs: DataFrame) -> DataFrame:
     other = F.col("none") | (F.col("f").isNotNull() & (F.col("f") != F.struct(*DIGEST)))
     number = F.when(other, F.xxhash64(F.lit("class"), *DIGEST)).otherwise(F.col("doc_id"))
     classes = stage_table(classes.join(shared, F.col("doc_id") == F.col("id"), "left").select(number.alias("rep"), *DIGEST, "none", "doc_id", "th"), "classes")
-    one = classes.select("rep", *(F.col(c).alias(f"c_{c}") for c in (*DIGEST, "doc_id", "th")))
-    same = F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("th") == F.col("c_th"))
-    for c in DIGEST:
-        same &= F.col(c) == F.col(f"c_{c}")
-    reps = stage_table(some.join(one, same).select("rep", "doc_id", "th", "n_shingles", "sketch").dropDuplicates(["rep"]), "reps")
+    # joined by one hash, so that the exchange serves the join and the removal of repeated rows
+    keyed = some.withColumn("k", F.xxhash64("doc_id", "th", *DIGEST))
+    one = classes.select(F.xxhash64("doc_id", "th", *DIGEST).alias("k"), "rep", F.struct("doc_id", "th").alias("c"))
+    reps = keyed.join(one, "k").filter(F.struct("doc_id", "th").eqNullSafe(F.col("c"))).select("k", "rep", "doc_id", "th", "n_shingles", "sketch")
+    reps = stage_table(reps.dropDuplicates(["k", "rep"]).drop("k"), "reps")
     # texts of one doc_id are linked
     several = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*DIGEST)).alias("lo"), F.max(F.struct(*DIGEST)).alias("hi")).filter("lo <> hi").select("doc_id", "lo")
     rep_of = lambda at, name: classes.select(F.struct(*DIGEST).alias(at), F.col("rep").alias(name))
@@ -413,13 +410,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = resolve(docs).filter("n_shingles > 0")
     stands = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("th") == F.col("keeper.th"))
     keys = stage_table(rows.groupBy("doc_id", "th", stands.alias("stands")).agg(F.count(F.lit(1)).alias("n")), "kept")
-    gone, again = keys.filter("not stands"), keys.filter("stands and n > 1")
+    # texts meet all keys that go, or stay once, in one join
+    drop, again = keys.filter("not stands or n > 1"), keys.filter("stands and n > 1")
     own, hashed = free_names(docs.columns, "own", "hashed")
     keyed = docs.withColumns(dict(zip((own, hashed), key_of_text(), strict=True)))
     is_in = lambda k: keyed[own].eqNullSafe(k["doc_id"]) & (keyed[hashed] == k["th"])
-    left = keyed.join(gone, is_in(gone), "left_anti")
+    left = keyed.join(drop, is_in(drop), "left_anti")
     # of equal texts of one doc_id one row stays
-    once = left.join(again, is_in(again), "left_anti").unionByName(left.join(again, is_in(again), "left_semi").dropDuplicates([own, hashed]))
+    once = left.unionByName(keyed.join(again, is_in(again), "left_semi").dropDuplicates([own, hashed]))
     return once.select(*docs.columns)
 
 
