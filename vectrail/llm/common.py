@@ -10,18 +10,26 @@ from pyspark.sql.types import StructType
 
 from ..sources.tables import shared_dir, stage_table
 
-__all__ = ["BATCH_BYTES", "WORD_GAP", "claim", "free_names", "let", "map_arrow", "running", "shared_dir", "split_words", "stage_table", "table", "words_of"]
+__all__ = ["BATCH_BYTES", "WORD_GAP", "claim", "free_names", "let", "map_arrow", "running", "shared_dir", "small", "split_words", "stage_table", "table", "words_of"]
 
 #: Separators of words: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Most bytes of an Arrow batch, unless a single row has more.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
+#: Most rows of a table of keys, some 40 bytes each, that is broadcast rather than whole texts being shuffled to it.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it is counted to have at most ``rows``; joins with larger ones shuffle."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """Names like the wanted ones that none of the columns has."""
     taken = {c.lower() for c in columns}

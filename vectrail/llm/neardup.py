@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, free_names, map_arrow, stage_table, table
+from .common import claim, free_names, map_arrow, small, stage_table, table
 
 WORDS = 5
 PERCENT = 75
@@ -331,7 +331,7 @@ def links(docs: DataFrame, reps: DataFrame, known: DataFrame) -> tuple[DataFrame
     members = stage_table(keys.join(full.select("key", "center"), "key"), "members")
     one = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.xxhash64("doc_id", "th").alias("k"), "rep", F.struct("doc_id", "th").alias("c"))
     keyed = docs.select(*key_of_text(), "text").withColumn("k", F.xxhash64("doc_id", "th"))
-    texts = keyed.join(stage_table(one, "wanted"), "k").filter(F.struct("doc_id", "th").eqNullSafe(F.col("c"))).select("k", "rep", "text")
+    texts = keyed.join(small(stage_table(one, "wanted")), "k").filter(F.struct("doc_id", "th").eqNullSafe(F.col("c"))).select("k", "rep", "text")
     texts = stage_table(texts.dropDuplicates(["k", "rep"]).drop("k"), "texts")
 
     # round 1: the bucket's first class
@@ -415,6 +415,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own, hashed = free_names(docs.columns, "own", "hashed")
     keyed = docs.withColumns(dict(zip((own, hashed), key_of_text(), strict=True)))
     is_in = lambda k: keyed[own].eqNullSafe(k["doc_id"]) & (keyed[hashed] == k["th"])
+    drop, again = small(drop), small(again)
     left = keyed.join(drop, is_in(drop), "left_anti")
     # of equal texts of one doc_id one row stays
     once = left.unionByName(keyed.join(again, is_in(again), "left_semi").dropDuplicates([own, hashed]))
