@@ -706,8 +706,8 @@ def test_linked_sets_meet_in_their_prefixes(spark):
         texts.append(" ".join(words[: 120 - 3 * (k % 4)]))
     docs = spark.createDataFrame([*enumerate(texts), (40, "a b"), (41, "a b c d e")], "doc_id long, text string")
     members = docs.selectExpr("doc_id rep", "doc_id label")
-    texts = docs.withColumnRenamed("doc_id", "rep")
-    rows = neardup.prefixes(members, texts).collect()
+    by_rep = docs.withColumnRenamed("doc_id", "rep")
+    rows = neardup.prefixes(members, by_rep).collect()
     keys: dict[int, dict] = {}
     for r in rows:
         keys.setdefault(r["rep"], {})[r["key"]] = (r["size"], r["left"])
@@ -721,4 +721,4 @@ def test_linked_sets_meet_in_their_prefixes(spark):
                 met = keys[i].keys() & keys[j].keys()
                 assert any(min(keys[i][g][1], keys[j][g][1]) * 175 >= (keys[i][g][0] + keys[j][g][0]) * 75 for g in met)
     assert 0 < links < 780
-    assert neardup.prefixes(members.limit(0), texts).count() == 0
+    assert neardup.prefixes(members.limit(0), by_rep).count() == 0
