@@ -281,6 +281,23 @@ def test_pages_are_parsed_by_wrappers():
     assert len({slots["x"], slots["y"], slots["1"]}) == 3 and slots["1"] == slots["2"] == slots["3"] and slots["z"] == -1
 
 
+def test_slots_after_many_different_parts_are_judged_over_the_host(spark):
+    """Parts of one element beyond the 256th are in the wrapper too, on one page and where pages are aligned."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    row = lambda p, i: f"<section class='{name(i)}'>page {p} tells its own story number {i}</section>"
+    tail = "<section class='tail'>the same closing words on all pages of the host</section>"
+    many = [(p, "http://many/", "".join(row(p, i) for i in range(400)) + tail) for p in range(3)]
+    # 200 parts a page, 600 in all
+    apart = [(10 + p, "http://apart/", "".join(row(p, i) for i in range(200 * p, 200 * p + 200)) + tail) for p in range(3)]
+    df = spark.createDataFrame(many + apart, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(df).collect()}
+    for p in range(3):
+        assert got[p].split("\n\n") == [f"page {p} tells its own story number {i}" for i in range(400)]
+        assert got[10 + p].split("\n\n") == [f"page {p} tells its own story number {i}" for i in range(200 * p, 200 * p + 200)]
+    wide = "".join(f"<section class='{name(i)}'>x</section>" for i in range(600))
+    assert len(wrappers.infer([wide, wide + tail]).kids) == 601
+
+
 def test_wrappers_of_many_shapes_meet_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "FAN_IN", 3)
     rows = [(i, "http://h/", f"<body><div>All rights reserved</div><div class=k{'x' * (i % 20)}><p>text {i} is here, and long enough</p></div></body>") for i in range(40)]
