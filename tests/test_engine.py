@@ -3,12 +3,14 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import bits as B
 from vectrail.functions import vectors as V
 from vectrail.operators import filters as J
 from vectrail.operators import graph as G
+from vectrail.operators import nearest as N
 from vectrail.operators import reports as R
 from vectrail.operators import search as S
 from vectrail.plans import catalog
@@ -65,6 +67,67 @@ def test_blocks_give_what_a_broadcast_gives(spark):
     assert key(S.knn(q, b, 3)) == key(S.knn(q, b, 3, limit=2)) == key(S.knn_arrow(q, b, 3))
 
 
+LARGE = "absolute_error average_precision candidate_construction candidates_with_metadata coarse_rerank_knn coarse_rerank_recall determinant_diversity flip_rate_pairs flip_rate_ranks flip_rate_returned ground_truth_skip_tail ip_error knn_by_element knn_cosine_normalized knn_deleted_mask knn_inline_beta knn_int_l2 knn_ip_distance knn_ip_score knn_l2 knn_l2_sqrt knn_multidoc_stop knn_postfilter minmax_knn".split()
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_searches_of_whole_tables_make_no_table_of_all_pairs(spark, monkeypatch, name):
+    def refuse(*args, **more):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(S, "pairs", refuse)
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+def odd_vectors(spark, n=300, dim=5):
+    """Copies, near ties, zeros, huge, infinite, NaN and broken vectors; labels from a few values and null."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((n, dim)).astype(np.float32)
+    x[40:120] = x[40]
+    x[130:140] = np.nextafter(x[130], np.float32(9))
+    x[150], x[151], x[152], x[153] = 0, 3e38, np.inf, np.nan
+    v = [[float(c) for c in r] for r in x]
+    v[160], v[161], v[162], v[163] = None, [1.0, None, 0.0, 0.0, 0.0], [], [0.5] * (dim + 1)
+    return spark.createDataFrame([(i * 7 % n, v[i], None if i % 11 == 0 else i % 4) for i in range(n)], "vec_id bigint, vec array<float>, label int")
+
+
+def plain_rank(df, k, *order, keys=("query_id",)):
+    w = Window.partitionBy(*keys).orderBy(*order, "vec_id")
+    return {tuple(r) for r in df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("dist").cast("string")).collect()}
+
+
+@pytest.mark.parametrize("metric", sorted(set(N.MEASURES) - {"int_l2_sq"}))
+@pytest.mark.parametrize("own", [True, False])
+def test_nearest_is_a_full_scan(spark, monkeypatch, metric, own):
+    monkeypatch.setattr(N, "QUERIES", 7)
+    monkeypatch.setattr(N, "ROWS", 64)
+    b = odd_vectors(spark)
+    q = b.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    whole = lambda c: f"size({c}) = 5 and not exists({c}, x -> x is null)"
+    d = S.distances(q.filter(whole("qvec")), b.filter(whole("vec")), metric, own=own).cache()
+    rows = lambda df: {tuple(r) for r in df.select("query_id", "rank", "vec_id", F.col("dist").cast("string")).collect()}
+    for k in (3, 400):
+        assert rows(S.knn(q, b, k, metric, own=own)) == plain_rank(d, k, "dist")
+    assert rows(S.knn(q, b, 5, metric, limit=9, own=own)) == plain_rank(d, 5, "dist")
+    pairs = lambda df: sorted(tuple(r) for r in df.select("query_id", "vec_id", F.col("dist").cast("string")).collect())
+    assert pairs(S.pairs_within(q, b, 1.5, metric, own=own)) == pairs(d.filter("dist <= 1.5"))
+    if metric == "l2_sq":
+        key = F.floor(F.col("dist") * 10 + 0.5)
+        assert rows(S.knn_by_key(q, b, 6, N.rounded(1), own=own)) == plain_rank(d.filter("dist < 1e9"), 6, key)
+        biased = S.beta_biased(q, b, F.col("label") == 3, 0.8, 6, own=own)
+        assert rows(biased) == plain_rank(d, 6, F.when(F.col("label") == 3, F.col("dist") * 0.8).otherwise(F.col("dist")))
+        docs = S.first_documents(q, b, 3, "label", own=own)
+        want = S.top_k(d.groupBy("query_id", "label").agg(F.min("dist").alias("dist")), 3, tie="label")
+        assert sorted(map(str, docs.collect())) == sorted(map(str, want.select(docs.columns).collect()))
+    d.unpersist()
+
+
+def test_broken_vectors_are_nobodys_neighbours(spark):
+    q = rows(spark, [[0.0, 1.0]], "query_id", "qvec")
+    b = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [0.0, 2.0]), (None, [0.0, 1.0])], "vec_id bigint, vec array<float>")
+    assert [r["vec_id"] for r in S.knn(q, b, 3).collect()] == [3]
+
+
 @pytest.mark.parametrize(
     "bad",
     [

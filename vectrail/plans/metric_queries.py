@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import filters as J
 from ..operators import metrics as M
+from ..operators import nearest as N
 from ..operators import reports as R
 from ..operators import search as S
 from ..sources import vectors as files
+from ..sources.tables import stage_table
 from .search_queries import IP, K, all_distances, base, dist_sql, embeddings, queries, top_sql
 
 QUERIES, SQL = {}, {}
@@ -116,11 +118,17 @@ def text_label_filter(spark, d):
 # ---- metrics: results are what a search over labels other than 0 finds, truth is the whole search
 
 def truth(spark, d, k=K):
-    return S.top_k(all_distances(spark, d), k)
+    """Written, as most metrics read it more than once."""
+    return stage_table(S.knn(queries(spark, d), base(spark, d), k, own=False), "truth")
 
 
 def results(spark, d, k=K):
-    return S.top_k(all_distances(spark, d).filter("label <> 0"), k)
+    return stage_table(S.knn(queries(spark, d), base(spark, d).filter("label <> 0"), k, own=False), "results")
+
+
+def rough(spark, d, k, where="true"):
+    """Top k by the distance rounded to one digit."""
+    return S.knn_by_key(queries(spark, d), base(spark, d).filter(where), k, N.rounded(1), own=False)
 
 
 TR = f"{dist_sql()}, t AS ({top_sql()}), r AS ({top_sql(source='(SELECT * FROM d WHERE label <> 0)')})"
@@ -152,14 +160,14 @@ c AS (SELECT q.query_id, (SELECT count(*) FROM ft WHERE ft.query_id = q.query_id
  (SELECT count(*) FROM fr JOIN ft USING (query_id, vec_id) WHERE fr.query_id = q.query_id AND ft.fr <= 10) AS hh FROM q)
 SELECT query_id, round(CASE WHEN tt = 0 THEN 100.0 ELSE 100.0 * hh / greatest(least(10, tt), rr) END, 6) AS recall FROM c""")
 def recall_filtered(spark, d):
-    t = S.top_k(all_distances(spark, d).filter("label = 2 and dist <= 1.7"), 1 << 30)
+    t = S.top_k(S.pairs_within(queries(spark, d), base(spark, d).filter("label = 2"), 1.7, own=False), 1 << 30)
     got = M.filtered_recall(results(spark, d).filter("label = 2"), t, queries(spark, d), K)
     return got.withColumn("recall", F.round("recall", 6))
 
 
 @query(f"WITH {TR} SELECT round((SELECT count(*) FROM r JOIN d USING (query_id, vec_id) WHERE d.dist <= 1.6) / (SELECT count(*) FROM d WHERE dist <= 1.6), 9) AS average_precision")
 def average_precision(spark, d):
-    got = M.average_precision(results(spark, d), S.within(all_distances(spark, d), 1.6))
+    got = M.average_precision(results(spark, d), S.pairs_within(queries(spark, d), base(spark, d), 1.6, own=False))
     return got.withColumn("average_precision", F.round("average_precision", 9))
 
 
@@ -181,15 +189,14 @@ def flip_rate_pairs(spark, d):
 @query(f"""WITH {dist_sql()}, t AS ({top_sql()}), g AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 1), vec_id) AS rb FROM d QUALIFY rb <= 10),
 j AS (SELECT query_id, rank AS ra, rb FROM t JOIN g USING (query_id, vec_id)) SELECT round(avg(CASE WHEN x.rb > y.rb THEN 1.0 ELSE 0.0 END), 9) AS flip_rate FROM j x JOIN j y ON x.query_id = y.query_id AND x.ra < y.ra""")
 def flip_rate_ranks(spark, d):
-    rough = S.top_k(all_distances(spark, d).withColumn("dist", F.round("dist", 1)), K)
-    return M.flip_rate_ranks(truth(spark, d), rough).select(F.round("flip_rate", 9).alias("flip_rate"))
+    return M.flip_rate_ranks(truth(spark, d), rough(spark, d, K)).select(F.round("flip_rate", 9).alias("flip_rate"))
 
 
 @query(f"""WITH {dist_sql(where="vec_id % 5 = 0")}, t AS ({top_sql()}), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 1), vec_id) AS rb FROM d QUALIFY rb <= 10)
 SELECT count(*) AS hits, count(*) / (10.0 * (SELECT count(DISTINCT query_id) FROM t)) AS recall FROM f JOIN t USING (query_id, vec_id)""")
 def fixed_candidate_recall(spark, d):
-    c = all_distances(spark, d).filter("vec_id % 5 = 0")
-    return M.recall(S.top_k(c.withColumn("dist", F.round("dist", 1)), K), S.top_k(c, K), K)
+    t = stage_table(S.knn(queries(spark, d), base(spark, d).filter("vec_id % 5 = 0"), K, own=False), "truth")
+    return M.recall(rough(spark, d, K, "vec_id % 5 = 0"), t, K)
 
 
 @query("SELECT round(avg(value), 6) AS mean_us, round(quantile_cont(value, 0.5), 6) AS p50_us, round(quantile_cont(value, 0.95), 6) AS p95_us, round(quantile_cont(value, 0.99), 6) AS p99_us, round(count(value) * 1e6 / sum(value), 4) AS qps FROM events")
@@ -347,8 +354,8 @@ def distance_counts(spark, d):
 
 @query(f"WITH {dist_sql()}, t AS ({top_sql()}), r AS (SELECT query_id, dist AS exact, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 1), vec_id) AS rank FROM t) SELECT round(avg(CASE WHEN y.exact <= x.exact THEN 1.0 ELSE 0.0 END), 9) AS flip_rate FROM r x JOIN r y ON x.query_id = y.query_id AND x.rank < y.rank")
 def flip_rate_returned(spark, d):
-    rough = truth(spark, d).withColumnRenamed("dist", "exact").drop("rank").withColumn("dist", F.round("exact", 1))
-    return M.flip_rate_returned(S.top_k(rough, K)).select(F.round("flip_rate", 9).alias("flip_rate"))
+    again = truth(spark, d).withColumnRenamed("dist", "exact").drop("rank").withColumn("dist", F.round("exact", 1))
+    return M.flip_rate_returned(S.top_k(again, K)).select(F.round("flip_rate", 9).alias("flip_rate"))
 
 
 @query(f"WITH {TR} SELECT round(avg(abs(round(dist, 2) - dist)), 9) AS mean_error, round(quantile_disc(abs(round(dist, 2) - dist), 0.95), 9) AS p95_error FROM t")
@@ -358,7 +365,7 @@ def absolute_error(spark, d):
 
 @query(f"WITH {dist_sql(IP)}, t AS ({top_sql()}), n AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT round(avg(abs(round(dist, 2) - dist) / (a.n * b.n)), 9) AS mean_error, round(quantile_disc(abs(round(dist, 2) - dist) / (a.n * b.n), 0.95), 9) AS p95_error FROM t JOIN n a ON a.vec_id = query_id JOIN n b ON b.vec_id = t.vec_id")
 def ip_error(spark, d):
-    t = S.top_k(S.distances(queries(spark, d), base(spark, d), lambda q, v: -V.ip_score(q, v), own=False), K)
+    t = S.knn(queries(spark, d), base(spark, d), K, "ip", own=False)
     norm = lambda by, name: embeddings(spark, d).select(F.col("vec_id").alias(by), V.l2_norm(F.col("embedding")).alias(name))
     rows = t.join(norm("query_id", "qn"), "query_id").join(norm("vec_id", "n"), "vec_id")
     return M.error_summary(rows, M.ip_error(F.round("dist", 2), F.col("dist"), F.col("qn"), F.col("n"))).select(F.round("mean_error", 9).alias("mean_error"), F.round("p95_error", 9).alias("p95_error"))
@@ -366,8 +373,7 @@ def ip_error(spark, d):
 
 @query(f"WITH {dist_sql()}, t AS ({top_sql()}), r AS ({top_sql(20, '(SELECT query_id, vec_id, round(dist, 1) AS dist FROM d)')}), h AS (SELECT t.query_id, count(*) AS h FROM t JOIN r ON r.query_id = t.query_id AND r.vec_id = t.vec_id AND t.rank <= 5 GROUP BY 1) SELECT DISTINCT t.query_id, coalesce(h, 0) / 5.0 AS recall FROM t LEFT JOIN h USING (query_id)")
 def recall_of_target(spark, d):
-    rough = S.top_k(all_distances(spark, d).withColumn("dist", F.round("dist", 1)), 20)
-    return M.recall_of_target(rough, truth(spark, d), 5, 20)
+    return M.recall_of_target(rough(spark, d, 20), truth(spark, d), 5, 20)
 
 
 @query(f"""WITH {dist_sql()}, t AS ({top_sql()}), h AS ({top_sql(20, '(SELECT * FROM d WHERE vec_id % 2 = 0)')}),
@@ -375,9 +381,11 @@ u AS (SELECT query_id, vec_id, 0 AS p, rank FROM t UNION ALL SELECT query_id, ve
 f AS (SELECT query_id, vec_id, p, rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY p, rank) = 1)
 SELECT query_id, vec_id, cand_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, rank) AS cand_rank FROM f) WHERE cand_rank <= 25""")
 def candidate_construction(spark, d):
-    dist = all_distances(spark, d)
+    q, b = queries(spark, d), base(spark, d)
     part = lambda df, p: df.select("query_id", "vec_id", F.lit(p).alias("p"), "rank")
-    fill = S.top_k(dist, 1 << 30, by="vec_id")
-    u = part(S.top_k(dist, K), 0).unionByName(part(S.top_k(dist.filter("vec_id % 2 = 0"), 20), 1)).unionByName(part(fill, 2))
+    # of the fill, 25 rows and as many more as the other two parts can hold decide, and one for the query itself
+    first = b.select("vec_id").orderBy("vec_id").limit(25 + K + 20 + 1)
+    fill = S.top_k(q.select("query_id").join(F.broadcast(first)).filter("query_id <> vec_id"), 25 + K + 20, by="vec_id")
+    u = part(S.knn(q, b, K, own=False), 0).unionByName(part(S.knn(q, b.filter("vec_id % 2 = 0"), 20, own=False), 1)).unionByName(part(fill, 2))
     kept = R.dedup_first(u, ["query_id", "vec_id"], ["p", "rank"]).withColumn("order", F.col("p") * 1_000_000 + F.col("rank"))
     return S.top_k(kept, 25, by="order", rank="cand_rank").select("query_id", "vec_id", "cand_rank")
