@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, free_names, map_arrow, small, stage_table, table
+from .common import claim, free_names, give_back, map_arrow, small, stage_table, table
 
 WORDS = 5
 PERCENT = 75
@@ -166,6 +166,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 h2 = [int(mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64)) for s in sets]
                 signed = lambda xs: pa.array(np.array(xs, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), signed(h1), signed(h2), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "th", "n_shingles", "h1", "h2", "sketch"])
+        give_back()
 
     return map_arrow(docs.select(*key_of_text(), "text"), run, SKETCHED)
 
@@ -178,6 +179,7 @@ def band_keys(reps: DataFrame) -> DataFrame:
     """(key, rep), one row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _shingler.seen.clear)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -196,6 +198,7 @@ def with_estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _shingler.seen.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -213,6 +216,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _shingler.seen.clear)
         for batch in batches:
             linked = []
             last, set_b = None, None
@@ -223,6 +227,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(set_a, set_b, assume_unique=True))
                 linked.append(100 * both >= PERCENT * (len(set_a) + len(set_b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        give_back()
 
     return map_arrow(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
@@ -241,6 +246,7 @@ def prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
     slots = min(MOST_SLOTS, max(SLOTS, 1 << int(words // 2).bit_length()))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _shingler.seen.clear)
         count = np.zeros(slots, dtype=np.int64)
         for batch in batches:
             for t in batch.column("text").to_pylist():
@@ -254,6 +260,7 @@ def prefixes(members: DataFrame, texts: DataFrame) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _shingler.seen.clear)
         for batch in batches:
             keys, sizes, left = [np.empty(0, dtype=np.uint64)], [], [np.empty(0, dtype=np.int64)]
             for t in batch.column("text").to_pylist():
