@@ -147,6 +147,29 @@ def test_many_partitions_are_scanned_by_few_tasks(spark):
     assert N.spread(spark.range(100).repartition(n)).rdd.getNumPartitions() == n
 
 
+def test_pairs_are_counted_without_listing_them(spark, monkeypatch):
+    monkeypatch.setattr(N, "QUERIES", 7)
+    monkeypatch.setattr(N, "ROWS", 64)
+    b = odd_vectors(spark)
+    q = b.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    for metric, radius, own in (("l2_sq", 1.5, False), ("l2_sq", 0.0, True), ("l2", 1.5, False), ("cosine", 0.4, False)):
+        assert N.count_within(q, b, radius, metric, own).first()["n"] == S.pairs_within(q, b, radius, metric, own=own).count()
+    assert N.count_within(q, b, 1.5, own=False, limit=9).first()["n"] == S.pairs_within(q, b, 1.5, own=False).count()
+
+
+def refused(monkeypatch, *names):
+    def refuse(*args, **more):
+        raise AssertionError("not this way")
+
+    for name in names:
+        monkeypatch.setattr(S, name, refuse)
+
+
+def test_average_precision_lists_no_pairs(spark, monkeypatch):
+    refused(monkeypatch, "pairs_within")
+    assert catalog.queries()["average_precision"](spark, "/root/testdata/sf0.001").count() == 1
+
+
 def test_broken_vectors_are_nobodys_neighbours(spark):
     q = rows(spark, [[0.0, 1.0]], "query_id", "qvec")
     b = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [0.0, 2.0]), (None, [0.0, 1.0])], "vec_id bigint, vec array<float>")

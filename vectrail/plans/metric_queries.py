@@ -167,7 +167,7 @@ def recall_filtered(spark, d):
 
 @query(f"WITH {TR} SELECT round((SELECT count(*) FROM r JOIN d USING (query_id, vec_id) WHERE d.dist <= 1.6) / (SELECT count(*) FROM d WHERE dist <= 1.6), 9) AS average_precision")
 def average_precision(spark, d):
-    got = M.average_precision(results(spark, d), S.pairs_within(queries(spark, d), base(spark, d), 1.6, own=False))
+    got = M.average_precision_counted(results(spark, d), S.count_within(queries(spark, d), base(spark, d), 1.6, own=False), 1.6)
     return got.withColumn("average_precision", F.round("average_precision", 9))
 
 
