@@ -170,6 +170,13 @@ def test_average_precision_lists_no_pairs(spark, monkeypatch):
     assert catalog.queries()["average_precision"](spark, "/root/testdata/sf0.001").count() == 1
 
 
+def test_candidate_construction_scans_once(spark, monkeypatch):
+    scans, scan = [], S.best_rows
+    monkeypatch.setattr(S, "best_rows", lambda *a, **more: scans.append(1) or scan(*a, **more))
+    assert catalog.queries()["candidate_construction"](spark, "/root/testdata/sf0.001").count() == 25 * 25
+    assert len(scans) == 1
+
+
 def test_broken_vectors_are_nobodys_neighbours(spark):
     q = rows(spark, [[0.0, 1.0]], "query_id", "qvec")
     b = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [0.0, 2.0]), (None, [0.0, 1.0])], "vec_id bigint, vec array<float>")

@@ -386,6 +386,8 @@ def candidate_construction(spark, d):
     # of the fill, 25 rows and as many more as the other two parts can hold decide, and one for the query itself
     first = b.select("vec_id").orderBy("vec_id").limit(25 + K + 20 + 1)
     fill = S.top_k(q.select("query_id").join(F.broadcast(first)).filter("query_id <> vec_id"), 25 + K + 20, by="vec_id")
-    u = part(S.knn(q, b, K, own=False), 0).unionByName(part(S.knn(q, b.filter("vec_id % 2 = 0"), 20, own=False), 1)).unionByName(part(fill, 2))
+    # one scan: the 20 nearest of even and of odd ids hold the ten nearest of all
+    near = stage_table(S.best_rows(q, b.select("vec_id", "vec", F.expr("vec_id % 2 = 0").alias("even")), 20, own=False, per="even"), "near")
+    u = part(S.top_k(near, K), 0).unionByName(part(S.top_k(near.filter("even"), 20), 1)).unionByName(part(fill, 2))
     kept = R.dedup_first(u, ["query_id", "vec_id"], ["p", "rank"]).withColumn("order", F.col("p") * 1_000_000 + F.col("rank"))
     return S.top_k(kept, 25, by="order", rank="cand_rank").select("query_id", "vec_id", "cand_rank")
