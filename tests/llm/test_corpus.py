@@ -115,6 +115,29 @@ def test_token_counts_of_unbroken_text(spark):
     assert lengths == sum(got.values()) + len(texts)
 
 
+def test_packing_encodes_as_the_library(monkeypatch):
+    t = library()
+    enc = packing.Encoder(tokens.vocabulary_path())
+    rng = random.Random(17)
+    signs = [*"abzAZ019 .,!'-_<|>\n  éÉÀßþÞÿ×÷ªµ²½\xa0\x85\xad\t\r\x0b\x00\u0300\u0301İıΣςжЖ日本🙂\u200d", "'s", "'LL", "don't", "<|endoftext|>", "<|ENDOFTEXT|>", "ÉCOLE", "</w>", "the"]
+    texts = ["", " \n ", "x" * 500, *("".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(3000)), *(f"ab{chr(c)}cd {chr(c)} A{chr(c)}" for c in range(0x600))]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    for block in (packing.BLOCK, 7, 1000):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        assert enc.encode(texts) == want
+    assert enc.encode([]) == []
+
+
+def test_packing_encodes_runs_once():
+    rng = random.Random(19)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäé", k=9)) for _ in range(200)]
+    texts = [" ".join(a + case(w) + b for w in words for case in (str.lower, str.upper, str.capitalize)) for a in ("", "(", '"', "#") for b in ("", ".", ",", "!!", "###", ")", "7")]
+    enc = packing.Encoder(tokens.vocabulary_path())
+    assert enc.encode(texts) == [np.array(library().encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    # 16,800 different pieces between spaces
+    assert len(enc.seen) < 250
+
+
 def brute_packing(lengths, capacity):
     """Gaps of all bins by trying every choice and summing squares of counts of open bins."""
     gaps = []

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -30,59 +31,145 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import claim, map_arrow, stage_table, table
-from .tokens import runs_of, vocabulary_path
+from .tokens import PLAIN, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
 GROUP = 16384
 FAN_IN = 16
 PASS_ON = 48
-#: Remembered pieces of text in a worker, and the longest of them.
+#: Remembered parts of text in a worker, and the longest of them in bytes.
 MEMORY, LONGEST = 400_000, 48
+#: Bytes of text that are encoded together, unless a single word has more.
+BLOCK = 4 << 20
+
+#: Kinds of UTF-8 bytes: between words; in runs of letters, single digits and runs of other signs; in words that stay whole.
+GAP, LETTER, DIGIT, SIGN, OTHER = range(5)
+GAPS = (b" ", b"\n")
+#: The first byte of the two of a character from U+00C0 to U+00FF; the second is less by 64 than the character.
+LATIN = 0xC3
+KINDS = np.full(256, OTHER, dtype=np.uint8)
+for _c in range(128):
+    if PLAIN.fullmatch(chr(_c)):
+        KINDS[_c] = LETTER if chr(_c).isalpha() else DIGIT if chr(_c).isdigit() else SIGN
+KINDS[[ord(_g) for _g in GAPS]] = GAP
+KINDS[LATIN] = KINDS[0x80:0xC0] = LETTER
+#: Pairs of bytes that keep a word whole, though each byte alone doesn't.
+ODD_PAIRS = [b"<|", *(chr(_c).encode() for _c in range(0xC0, 0x100) if not PLAIN.fullmatch(chr(_c)))]
+LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids as little-endian bytes; a text is cut at spaces and line feeds, which no token crosses."""
+    """Token ids as little-endian bytes.
+
+    A text is cut into words at spaces and line feeds, which no token crosses, and a word of only ``PLAIN`` characters
+    into runs in lower case, each one pre-token; other words stay whole. Each different part of a block is encoded once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {"": b""}
-
-    def learn_joined(self, pieces: list[str]) -> None:
-        """Encode pieces without inner white space as one text; offsets tell whose each id is."""
-        e = self.library.encode(" ".join(pieces), add_special_tokens=False)
+        self.model, normal, pre = self.library.model, self.library.normalizer, self.library.pre_tokenizer
+        #: How the model spells each character of a run, by the vocabulary's own rules.
+        self.spelt = {c: "".join(w for w, _ in pre.pre_tokenize_str(normal.normalize_str(chr(c)) if normal else chr(c))) for c in range(256) if PLAIN.fullmatch(chr(c))}
+        #: Whether runs in lower case have the same tokens.
+        self.folds = all(self.spelt[c] == self.spelt[ord(chr(c).lower())] for c in self.spelt)
+        self.seen: dict[bytes, bytes] = {}
+
+    def parts(self, block: bytes) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """Where the block's parts begin, which of them are runs, and the parts."""
+        text = np.frombuffer(block, dtype=np.uint8)
+        kind = KINDS[text]
+        odd = kind == OTHER
+        for pair in ODD_PAIRS:
+            if pair in block:
+                odd[1:] |= (text[:-1] == pair[0]) & (text[1:] == pair[1])
+        if odd.any():
+            word = np.cumsum(kind == GAP, dtype=np.int32)
+            whole = np.zeros(word[-1] + 1, dtype=bool)
+            whole[word[odd]] = True
+            kind[whole[word] & (kind != GAP)] = OTHER
+        begins = kind != GAP
+        used = begins.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        at = np.flatnonzero(begins)
+        if self.folds:
+            text = np.where(kind == OTHER, text, LOWER[text])
+            second = np.flatnonzero(text[:-1] == LATIN) + 1
+            second = second[(kind[second] != OTHER) & (text[second] < 0x9F)]
+            text[second] += 32
+        offsets = np.append(np.flatnonzero(begins[used]), np.count_nonzero(used))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(text[used])])
+        return at, kind[at] != OTHER, parts.dictionary_encode()
+
+    def learn_runs(self, runs: list[bytes]) -> None:
+        """Remember the ids of parts that are one pre-token each."""
+        model, spelt = self.model.tokenize, self.spelt
+        found = [[t.id for t in model(r.decode().translate(spelt))] for r in runs]
+        ends = [0, *accumulate(4 * len(f) for f in found)]
+        data = np.fromiter(chain.from_iterable(found), dtype="<u4", count=ends[-1] // 4).tobytes()
+        self.seen.update((r, data[a:b]) for r, a, b in zip(runs, ends[:-1], ends[1:], strict=True))
+
+    def learn_joined(self, words: list[str]) -> None:
+        """Encode words without inner white space as one text; offsets tell whose each id is."""
+        e = self.library.encode(" ".join(words), add_special_tokens=False)
         ids, starts = np.array(e.ids, dtype="<u4"), np.array([a for a, _ in e.offsets], dtype=np.int64)
-        ends = np.cumsum([len(p) + 1 for p in pieces])
+        ends = np.cumsum([len(w) + 1 for w in words])
         bounds = np.append(0, np.searchsorted(starts, ends, side="left"))
-        for p, a, b in zip(pieces, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            self.seen[p] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*pieces).difference(self.seen))
-        runs = {p: runs_of(p) or [p] for p in new}
-        parts = list({r for rs in runs.values() for r in rs}.difference(self.seen))
-        plain = [p for p in parts if "<|" not in p and len(p.split()) == 1]
-        for i in range(0, len(plain), 512):
-            self.learn_joined(plain[i : i + 512])
-        for p in parts:
-            if p not in self.seen:
-                self.seen[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        of_part = self.seen.__getitem__
-        self.seen.update((p, b"".join(map(of_part, rs))) for p, rs in runs.items() if len(rs) > 1)
-        of_piece = self.seen.__getitem__
-        out = [b"".join(map(of_piece, ps)) for ps in pieces]
-        for p in (*new, *parts):
+        for w, a, b in zip(words, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            self.seen[w.encode()] = ids[a:b].tobytes()
+
+    def learn_words(self, words: list[str]) -> None:
+        """Remember the ids of words that stay whole."""
+        joined = [w for w in words if "<|" not in w and len(w.split()) == 1]
+        for i in range(0, len(joined), 512):
+            self.learn_joined(joined[i : i + 512])
+        for w in words:
+            if (key := w.encode()) not in self.seen:
+                self.seen[key] = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode_block(self, block: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block that ends in a gap, and how many of them come before each cut."""
+        begin, run, coded = self.parts(block)
+        parts, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        whole = np.zeros(len(parts), dtype=bool)
+        whole[at[~run]] = True
+        new = [(p, w) for p, w in zip(parts, whole.tolist(), strict=True) if p not in self.seen]
+        self.learn_runs([p for p, w in new if not w])
+        self.learn_words([p.decode() for p, w in new if w])
+        found = list(map(self.seen.__getitem__, parts))
+        for p, _ in new:
             if len(p) > LONGEST:
-                self.seen.pop(p, None)
+                del self.seen[p]
         if len(self.seen) > MEMORY:
-            self.seen = {"": b""}
-        return out
+            self.seen = {}
+        of_part, size = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        first, sizes = np.cumsum(size) - size, size[at]
+        ends = np.append(0, np.cumsum(sizes))
+        ids = of_part[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], sizes)]
+        return ids, ends[np.searchsorted(begin, cuts)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        data = [t.encode() for t in texts]
+        ends = np.cumsum([len(d) + 1 for d in data])
+        data = b"\n".join([*data, b""])
+        ids, bounds, at, n = [], [np.zeros(1, dtype=np.int64)], 0, 0
+        while at < len(data):
+            # to the last gap of the next BLOCK bytes, or the first one after them
+            to = 1 + (max(data.rfind(g, at, at + BLOCK) for g in GAPS) if at + BLOCK < len(data) else len(data) - 1)
+            if not to:
+                to = 1 + min(g for g in (data.find(g, at + BLOCK) for g in GAPS) if g >= 0)
+            inside = ends[np.searchsorted(ends, at, side="right") : np.searchsorted(ends, to, side="right")]
+            some, cuts = self.encode_block(data[at:to], inside - at)
+            ids.append(some)
+            bounds.append(n + cuts)
+            at, n = to, n + len(some)
+        ids, bounds = np.concatenate([*ids, np.empty(0, dtype="<u4")]), np.concatenate(bounds).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -109,12 +196,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
             ids = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
-            for i in range(0, len(texts), 256):
-                for doc, data in zip(ids[i : i + 256], enc.encode(texts[i : i + 256]), strict=True):
-                    data += end
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, data in zip(ids, enc.encode(texts), strict=True):
+                data += end
+                for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[at : at + 4 * capacity]
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
