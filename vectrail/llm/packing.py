@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, map_arrow, stage_table, table
+from .common import claim, give_back, map_arrow, stage_table, table
 from .tokens import PLAIN, vocabulary_path
 
 CAPACITY = 4096
@@ -41,7 +41,7 @@ PASS_ON = 48
 #: Remembered parts of text in a worker, and the longest of them in bytes.
 MEMORY, LONGEST = 400_000, 48
 #: Bytes of text that are encoded together, unless a single word has more.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 #: Kinds of UTF-8 bytes: between words; in runs of letters, single digits and runs of other signs; in words that stay whole.
 GAP, LETTER, DIGIT, SIGN, OTHER = range(5)
@@ -204,6 +204,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return map_arrow(docs.select("doc_id", "text"), run, PIECES)
 
